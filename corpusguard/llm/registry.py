@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusguard.llm import minhash
+from corpusguard.llm import minhash, rules
 
-MODULES = (minhash,)
+MODULES = (minhash, rules)
 
 
 def queries() -> dict:
