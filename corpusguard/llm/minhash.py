@@ -25,7 +25,7 @@ BANDS = COORDINATES // ROWS
 _MASK = (1 << 64) - 1
 TILE = 2048
 SMALL = 48
-NEIGHBOURS = 8
+NEIGHBOURS, HUBS, OUTSIDE = 3, 2, 6
 _SIGNATURE = "doc_id long, n_shingles long, class_key binary, sketch binary, bands array<long>"
 
 
@@ -71,24 +71,31 @@ def _sign(batches):
 
 
 def _tiles(batches):
-    """Candidate pairs of the tiles of buckets, sorted by bucket, by estimated similarity."""
+    """Candidate pairs of the tiles of buckets, sorted by bucket, by estimated similarity.
+
+    Without component labels, a tile of up to SMALL members gives all its likely
+    pairs and a larger one the nearest of each member and the members with most
+    likely partners. With labels, a larger tile gives the nearest of each member in
+    other components.
+    """
     for table in whole_groups(batches, "bucket"):
         bucket, ids = table.column("bucket").to_numpy(), table.column("doc_id").to_numpy()
+        label = table.column("component").to_numpy() if "component" in table.column_names else None
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ids)]])
-        twos = starts[ends - starts == 2]
+        twos = starts[ends - starts == 2] if label is None else starts[:0]
         agree = (sketch[twos] == sketch[twos + 1]).sum(1) >= LEAST
         found = [(ids[twos][agree], ids[twos + 1][agree])]
         for lo, hi in zip(starts, ends, strict=True):
-            if hi - lo > 2:
-                a, b = _tile(sketch[lo:hi])
+            if hi - lo > (2 if label is None else SMALL):
+                a, b = _tile(sketch[lo:hi], None if label is None else label[lo:hi])
                 found.append((ids[lo:hi][a], ids[lo:hi][b]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _tile(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tile(s: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     est = np.zeros((n, n), np.uint8)
     step = max(1, (1 << 22) // (n * COORDINATES))
@@ -98,18 +105,22 @@ def _tile(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ok = est >= LEAST
     if n <= SMALL:
         return np.nonzero(np.triu(ok))
-    k = NEIGHBOURS
-    near = np.argpartition(255 - est, k, axis=1)[:, :k]
-    hubs = np.argsort(-ok.sum(1), kind="stable")[:k]
-    both = np.concatenate([near, np.broadcast_to(hubs, (n, k))], 1)
+    if label is not None:
+        ok &= label[:, None] != label
+        est[~ok] = 0
+        both = np.argpartition(255 - est, OUTSIDE, axis=1)[:, :OUTSIDE]
+    else:
+        near = np.argpartition(255 - est, NEIGHBOURS, axis=1)[:, :NEIGHBOURS]
+        hubs = np.argsort(-ok.sum(1), kind="stable")[:HUBS]
+        both = np.concatenate([near, np.broadcast_to(hubs, (n, HUBS))], 1)
     a, b = np.repeat(np.arange(n), both.shape[1]), both.ravel()
     keep = ok[a, b]
     return a[keep], b[keep]
 
 
 #: Agreeing coordinates of the sketch that make a pair worth its exact check: an
-#: estimate of 0.55, five standard deviations below the threshold.
-LEAST = 70
+#: estimate of 0.59, more than four standard deviations below the threshold.
+LEAST = 75
 
 
 def _verify(batches):
@@ -134,6 +145,23 @@ def _sets(column):
             yield uniq[uo[r] : uo[r + 1]]
 
 
+def _candidates(members: DataFrame) -> DataFrame:
+    columns = [c for c in ("bucket", "doc_id", "sketch", "component") if c in members.columns]
+    return members.select(*columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tiles, "a long, b long").distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough.
+
+    The merge hints keep one plan at every size: texts move by key, never by broadcast.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = save(texts, "texts").hint("merge")
+    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").mapInArrow(_verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -142,16 +170,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "hash"))
     shared = rows.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
-    tiles = F.ceil(F.col("members") / TILE)
-    members = rows.join(shared, ["band", "hash"]).withColumn("tile", F.pmod(F.xxhash64("doc_id", "band"), tiles))
-    members = members.join(reps.select("doc_id", "sketch"), "doc_id").select(F.xxhash64("band", "hash", "tile").alias("bucket"), "doc_id", "sketch")
-    tiled = members.repartition("bucket").sortWithinPartitions("bucket")
-    pairs = save(tiled.mapInArrow(_tiles, "a long, b long").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = save(texts, "texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = joined.mapInArrow(_verify, "a long, b long")
+    members = rows.join(shared, ["band", "hash"]).withColumn("tile", F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("members") / TILE)))
+    members = members.join(reps.select("doc_id", "sketch"), "doc_id")
+    members = save(members.select("doc_id", F.xxhash64("band", "hash", "tile").alias("bucket"), "members", "sketch"), "members")
+    pairs = save(_candidates(members), "pairs")
+    links = save(_links(docs, pairs), "links")
+    # What large tiles left out: likely pairs whose ends the first links do not connect.
+    named = members.where(F.col("members") > SMALL).join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "doc_id"))
+    links = links.union(_links(docs, save(_candidates(named).join(pairs, ["a", "b"], "left_anti"), "pairs")))
     groups = components(links)
     rep = signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")
     out = rep.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
