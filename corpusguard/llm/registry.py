@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusguard.llm import minhash, rules
+from corpusguard.llm import decontaminate, minhash, mixing, rules
 
-MODULES = (minhash, rules)
+MODULES = (mixing, minhash, rules, decontaminate)
 
 
 def queries() -> dict:
