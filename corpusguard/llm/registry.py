@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusguard.llm import decontaminate, minhash, mixing, rules
+from corpusguard.llm import decontaminate, minhash, mixing, rules, sharding
 
-MODULES = (mixing, minhash, rules, decontaminate)
+MODULES = (mixing, minhash, rules, sharding, decontaminate)
 
 
 def queries() -> dict:
