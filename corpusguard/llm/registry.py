@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusguard.llm import decontaminate, minhash, mixing, rules, sharding
+from corpusguard.llm import decontaminate, ftrl, licenses, minhash, mixing, rules, sharding
 
-MODULES = (mixing, minhash, rules, sharding, decontaminate)
+MODULES = (mixing, ftrl, minhash, rules, sharding, decontaminate, licenses)
 
 
 def queries() -> dict:
