@@ -7,6 +7,7 @@ longest document, never the partition. A null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -137,10 +138,16 @@ def root(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it again; cuts the lineage."""
-    path = f"{root(df.sparkSession)}/corpusguard/{name}-{uuid.uuid4().hex}"
+    """Write df once to the shared folder and read it again; cuts the lineage.
+
+    The collection lets Spark's cleaner drop the shuffle files of finished steps.
+    """
+    spark = df.sparkSession
+    path = f"{root(spark)}/corpusguard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def blocks(total: int, each: int, least: int = 1) -> int:
