@@ -7,8 +7,8 @@ are Spark aggregations by (context, decision), level by level; texts meet the
 model through blocks: a block of documents sends its distinct n-grams and words
 once, and gets back one number for each of them.
 
-A text is its lower-cased bytes after a start mark and before an end mark, so the
-probabilities of all texts add up to one. Where a context was never seen, the
+A text is its lower-cased words with one space between them, after a start mark and
+before an end mark, so the probabilities of all texts add up to one. Where a context was never seen, the
 mixture ends at the deepest one that was.
 
 Defined results: a null text is empty and scores its end mark; rows with equal
@@ -23,22 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import _LOWER, blocks, save, slices, words
+from corpusguard.llm.common import _LOWER, _WS, blocks, save, slices, words
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 24 << 20
 _START, _END = 0xFE, 0xFF
 _END_WORD = np.uint64(0x5EED0FE4D)
 _GRAM, _WORD = 0, 1
 
 
+def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as their lower-cased words with one space between, and the new offsets."""
+    _, starts, woffs = words(data, offs)
+    space = _WS[data]
+    keep = ~space
+    inner = np.ones(len(starts), bool)
+    inner[woffs[:-1][woffs[:-1] < len(starts)]] = False
+    keep[starts[inner] - 1] = True
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return np.where(space, np.uint8(0x20), _LOWER[data])[keep], at[offs]
+
+
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The DEPTH + 1 bytes that end at each byte and at the end mark of each row, and the rows' offsets."""
     rows = len(offs) - 1
     pad = DEPTH + 1
     b = np.full(len(data) + pad * rows, _START, np.uint8)
     at = np.arange(len(data)) + np.repeat(np.arange(rows) * pad + DEPTH, np.diff(offs))
-    b[at] = _LOWER[data]
+    b[at] = data
     ends = offs[1:] + np.arange(rows) * pad + DEPTH
     b[ends] = _END
     key = np.zeros(len(b) - DEPTH, np.uint64)
@@ -68,7 +80,7 @@ def _count(table):
     parts: dict[int, list] = {_GRAM: [], _WORD: []}
     train = ~table.column("held_out").to_numpy()
     for i, j, data, offs in slices(table.column("text")):
-        for kind, (key, o) in ((_GRAM, grams(data, offs)), (_WORD, row_words(data, offs))):
+        for kind, (key, o) in ((_GRAM, grams(*canonical(data, offs))), (_WORD, row_words(data, offs))):
             parts[kind].append(_tally(key, np.repeat(train[i:j], np.diff(o))))
     out = []
     block = table.column("block")[0].as_py()
@@ -131,8 +143,9 @@ def _score(total_words: int, distinct_words: int):
         for _, _, data, offs in slices(texts.column("text")):
             h, o = row_words(data, offs)
             at = word(h)
-            k, ko = grams(data, offs)
-            for out, x in zip(got, (np.diff(o), np.add.reduceat((count[at] > 0).astype(np.int64), o[:-1]), np.add.reduceat(cost[at], o[:-1]), np.add.reduceat(logs[find(k)], ko[:-1]), np.diff(offs)), strict=True):
+            c, co = canonical(data, offs)
+            k, ko = grams(c, co)
+            for out, x in zip(got, (np.diff(o), np.add.reduceat((count[at] > 0).astype(np.int64), o[:-1]), np.add.reduceat(cost[at], o[:-1]), np.add.reduceat(logs[find(k)], ko[:-1]), np.diff(co)), strict=True):
                 out.append(x)
         n, known, base, score, size = (np.concatenate(x) for x in got)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n, "n_known": known, "base_score": base, "score": score, "n_bytes": size})

@@ -25,7 +25,7 @@ BANDS = COORDINATES // ROWS
 _MASK = (1 << 64) - 1
 TILE = 2048
 SMALL = 48
-NEIGHBOURS, HUBS, OUTSIDE = 3, 2, 6
+NEIGHBOURS, HUBS, OUTSIDE, ROUNDS = 3, 2, 3, 3
 _SIGNATURE = "doc_id long, n_shingles long, class_key binary, sketch binary, bands array<long>"
 
 
@@ -175,10 +175,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = save(members.select("doc_id", F.xxhash64("band", "hash", "tile").alias("bucket"), "members", "sketch"), "members")
     pairs = save(_candidates(members), "pairs")
     links = save(_links(docs, pairs), "links")
-    # What large tiles left out: likely pairs whose ends the first links do not connect.
-    named = members.where(F.col("members") > SMALL).join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    links = links.union(_links(docs, save(_candidates(named).join(pairs, ["a", "b"], "left_anti"), "pairs")))
+    # What large tiles left out: likely pairs whose ends the links so far do not connect.
+    large = members.where(F.col("members") > SMALL)
+    for _ in range(ROUNDS):
+        named = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        named = named.withColumn("component", F.coalesce("component", "doc_id"))
+        more = save(_candidates(named).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = save(_links(docs, more), "links")
+        if found.isEmpty():
+            break
+        links, pairs = links.union(found), pairs.union(more)
     groups = components(links)
     rep = signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")
     out = rep.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
