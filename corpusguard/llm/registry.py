@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusguard.llm import ctw, decontaminate, ftrl, licenses, minhash, mixing, rindex, rules, sharding
+from corpusguard.llm import chaining, ctw, decontaminate, ftrl, licenses, minhash, mixing, rindex, rules, sharding
 
-MODULES = (ctw, mixing, rindex, ftrl, minhash, rules, sharding, decontaminate, licenses)
+MODULES = (ctw, mixing, chaining, rindex, ftrl, minhash, rules, sharding, decontaminate, licenses)
 
 
 def queries() -> dict:
