@@ -137,16 +137,18 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it again; cuts the lineage.
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    The collection lets Spark's cleaner drop the shuffle files of finished steps.
-    """
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{root(spark)}/corpusguard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
