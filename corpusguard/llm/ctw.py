@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusguard.llm.common import _LOWER, _WS, blocks, save, slices, words
 
 DEPTH = 5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 _START, _END = 0xFE, 0xFF
 _END_WORD = np.uint64(0x5EED0FE4D)
 _GRAM, _WORD = 0, 1
@@ -173,17 +173,26 @@ def tree(counts: DataFrame) -> DataFrame:
     steps = counts.selectExpr("key", "total", bits).selectExpr(
         "key", "shiftright(key, 8) AS context", "shiftleft(1, i) | shiftright(CAST(key & 255 AS INT), 8 - i) AS node", "CASE WHEN (key & m) <> 0 THEN 1 ELSE 0 END AS bit", "total"
     )
-    level = steps.groupBy("context", "node").agg(F.sum(F.expr("CASE WHEN bit = 0 THEN total ELSE 0 END")).cast("double").alias("a"), F.sum(F.expr("total * bit")).cast("double").alias("b"))
-    levels = [save(level.selectExpr("*", f"{_KT} AS pe").selectExpr("*", "pe AS pw", "1D AS own"), "level")]
+    level = steps.groupBy("context", "node").agg(F.sum(F.expr("CASE WHEN bit = 0 THEN total ELSE 0 END")).alias("a"), F.sum(F.expr("total * bit")).alias("b"))
+    # Levels are kept as counts and, above the leaves, the product below; estimates and weights follow from them.
+    levels = [save(level, "level")]
+    weighted = levels[0].selectExpr("*", f"{_KT} AS pw")
     for depth in range(DEPTH - 1, -1, -1):
-        level = levels[-1].groupBy(F.expr(f"context & {(1 << 8 * depth) - 1}L").alias("context"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("below"))
-        level = level.selectExpr("*", f"{_KT} AS pe").selectExpr("*", "1 / (1 + exp(least(below - pe, 700D))) AS own")
-        levels.append(save(level.selectExpr("context", "node", "a", "b", "pe", "greatest(pe, below) + ln(1 + exp(-abs(pe - below))) - 0.6931471805599453D AS pw", "own"), "level"))
+        level = weighted.groupBy(F.expr(f"context & {(1 << 8 * depth) - 1}L").alias("context"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("below"))
+        levels.append(save(level, "level"))
+        weighted = levels[-1].selectExpr("*", f"{_KT} AS pe").selectExpr("context", "node", "a", "b", "greatest(pe, below) + ln(1 + exp(-abs(pe - below))) - 0.6931471805599453D AS pw")
+
+    def owned(t: DataFrame) -> DataFrame:
+        """The share of a node's weight that its own estimate holds; all of it at the leaves."""
+        if "below" not in t.columns:
+            return t.selectExpr("*", "1D AS own")
+        return t.selectExpr("*", f"{_KT} AS pe").selectExpr("*", "1 / (1 + exp(least(below - pe, 700D))) AS own").drop("pe", "below")
+
     one = "(b + 0.5D) / (a + b + 1)"
-    down = levels.pop().selectExpr("context", "node", f"{one} AS p", f"own * {one} AS mixed", "1 - own AS rest")
+    down = owned(levels.pop()).selectExpr("context", "node", f"{one} AS p", f"own * {one} AS mixed", "1 - own AS rest")
     for depth in range(1, DEPTH + 1):
         up = down.selectExpr("context AS _c", "node AS _n", "p AS _p", "mixed AS _m", "rest AS _r")
-        level = levels.pop()
+        level = owned(levels.pop())
         j = level.join(up, (F.expr(f"context & {(1 << 8 * (depth - 1)) - 1}L") == F.col("_c")) & (F.col("node") == F.col("_n")))
         seen = "a + b > 0"
         down = j.selectExpr("context", "node", f"CASE WHEN {seen} THEN _m + _r * {one} ELSE _p END AS p", f"_m + _r * own * {one} AS mixed", "_r * (1 - own) AS rest")
