@@ -88,25 +88,20 @@ def _seeds(batches):
 
 def _surroundings(batches):
     for batch in batches:
-        got = [[], [], [], []]
-        size = 0
-        for doc, text, hits in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("hits"), strict=True):
-            b = (text or "").encode()
-            pos, anchor = hits.values.field(0).to_numpy(), hits.values.field(1).to_numpy()
-            for p, a in zip(pos.tolist(), anchor.tolist(), strict=True):
-                s = max(0, p - AROUND)
-                for out, x in zip(got, (a, doc, s, b[s : p + MATCH]), strict=True):
-                    out.append(x)
-            size += len(pos)
-            if size > 20_000:
-                yield _rows(got)
-                got, size = [[], [], [], []], 0
-        if size:
-            yield _rows(got)
-
-
-def _rows(got):
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "bytes"])
+        hits = batch.column("hits")
+        ho = hits.offsets.to_numpy() - hits.offsets[0].as_py()
+        values = hits.flatten()
+        pos, anchor = values.field("pos").to_numpy(), values.field("anchor").to_numpy()
+        ids = batch.column("doc_id").to_numpy()
+        for i, j, data, offs in slices(batch.column("text")):
+            p, a = pos[ho[i] : ho[j]].astype(np.int64), anchor[ho[i] : ho[j]]
+            row = np.repeat(np.arange(j - i), np.diff(ho[i : j + 1]))
+            start = np.maximum(0, p - AROUND)
+            lens = np.minimum(p + MATCH, np.diff(offs)[row]) - start
+            ends = np.cumsum(lens)
+            at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens) + np.repeat(offs[row] + start, lens)
+            around = pa.Array.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i:j][row]), pa.array(start.astype(np.int32)), around], ["anchor", "doc_id", "start", "bytes"])
 
 
 class RunLengthIndex:
@@ -231,7 +226,16 @@ def _remove(table: pa.Table, known):
     where = np.array([index.setdefault(x, len(index)) for x in texts])
     low = np.full(len(index), np.iinfo(np.int64).max)
     np.minimum.at(low, where, doc)
-    got = RunLengthIndex(list(index)).classes()
+    # Surroundings that their anchor has in one form only are a class by themselves; the others are indexed.
+    forms = np.unique(np.stack([where, anchor]), axis=1) if len(set(where.tolist())) > 1 else np.stack([where[:1], anchor[:1]])
+    _, back, number = np.unique(forms[1], return_inverse=True, return_counts=True)
+    several = np.unique(forms[0][number[back] > 1])
+    listed = list(index)
+    size = np.array([len(x) for x in listed])
+    got = np.where(np.arange(_STRIDE) + MATCH <= size[:, None], np.arange(len(listed))[:, None], -1)
+    if len(several):
+        classes = RunLengthIndex([listed[k] for k in several]).classes()
+        got[several] = np.where(classes >= 0, classes + len(listed), -1)
     ok = got >= 0
     least = np.full(got.max(initial=0) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, got[ok], np.repeat(low, ok.sum(1)))
@@ -256,40 +260,37 @@ def _remove(table: pa.Table, known):
 
 def _cut(batches):
     for batch in batches:
-        out: list[list] = [[], [], []]
-        n = []
-        for text, spans, copy in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True):
-            b = (text or "").encode()
-            n.append(len(b))
-            if copy:
-                spans = [{"start": 0, "end": len(b)}] if len(b) >= MATCH else []
-            kept, last, removed, runs = [], 0, 0, 0
-            reach = -1
-            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-                if s > reach:
-                    runs += 1
-                    kept.append(b[max(last, 0) : s])
-                    removed += e - s
-                    reach = last = e
-                elif e > reach:
-                    removed += e - reach
-                    reach = last = e
-            kept.append(b[last:])
-            out[0].append(removed)
-            out[1].append(runs)
-            out[2].append(hashlib.sha256(b"".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def removed_spans(docs: DataFrame) -> DataFrame:
+        spans, copies = batch.column("spans"), batch.column("copy").to_pylist()
+        so = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+        values = spans.flatten()
+        first, last = values.field("start").to_numpy(), values.field("end").to_numpy()
+        size, removed, runs, digest = [], [], [], []
+        for i, j, data, offs in slices(batch.column("text")):
+            for r in range(i, j):
+                b = data[offs[r - i] : offs[r - i + 1]]
+                s, e = first[so[r] : so[r + 1]], last[so[r] : so[r + 1]]
+                if copies[r]:
+                    s, e = (np.zeros(1, np.int32), np.full(1, len(b), np.int32)) if len(b) >= MATCH else (s[:0], e[:0])
+                edge = np.zeros(len(b) + 1, np.int32)
+                np.add.at(edge, s, 1)
+                np.add.at(edge, e, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                size.append(len(b))
+                removed.append(int(gone.sum()))
+                runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
+                digest.append(hashlib.sha256(b[~gone].tobytes()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def removed_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """doc_id, start, end: bytes of texts that repeat in a document with a smaller doc_id; spans may overlap.
 
-    docs: doc_id and text, texts distinct.
+    copies: the doc_ids to leave out, as their texts are those of smaller ones.
     """
     by_anchor = Window.partitionBy("anchor")
     seeds = docs.mapInArrow(_seeds, "anchor long, doc_id long, pos int")
     shared = seeds.withColumns({"low": F.min("doc_id").over(by_anchor), "high": F.max("doc_id").over(by_anchor)}).where("low < high").select("doc_id", "pos", "anchor")
-    shared = save(shared, "anchors")
+    shared = save(shared.join(copies.select("doc_id"), "doc_id", "left_anti"), "anchors")
     hits = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("hits"))
     around = docs.hint("merge").join(hits.hint("merge"), "doc_id").mapInArrow(_surroundings, "anchor long, doc_id long, start int, bytes binary")
     around = around.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
@@ -302,8 +303,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keys = save(d.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key")), "keys")
     firsts = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     copies = save(keys.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct(), "copies")
-    texts = d.hint("merge").join(copies.hint("merge"), "doc_id", "left_anti")
-    spans = save(removed_spans(texts), "spans")
+    spans = save(removed_spans(d, copies), "spans")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return d.hint("merge").join(spans.hint("merge"), "doc_id", "left").hint("merge").join(copies.hint("merge"), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
