@@ -1,14 +1,14 @@
 """Size-tiered compaction into versioned shards (operator 8), in DataFrame functions only.
 
-An append cuts the documents, in a shuffled but fixed order, into arrivals of
+An append deals the documents, in a shuffled but fixed order, into arrivals of
 about ARRIVAL_BYTES and writes each as one small immutable shard. A compaction
 merges every FANOUT runs of a tier into one of the next, up to TOP tiers, and
 rewrites only the runs that grow. Each step ends in a manifest that is written
 aside and renamed into place: a reader sees the version before or after, and of
 two writers of one version the second fails.
 
-Defined results: a null text has 0 bytes; a document longer than an arrival is an
-arrival of its own size; repeated rows are kept, each; an empty append commits an
+Defined results: a null text has 0 bytes; a document longer than an arrival makes its
+arrival larger; repeated rows are kept, each; an empty append commits an
 empty version; columns of the documents keep their names and values, whatever
 they are (the store's own begin with _cg_).
 """
@@ -17,28 +17,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import release, root
+from corpusguard.llm.common import blocks, release, root
 
 ARRIVAL_BYTES, FANOUT, TOP = 8 << 20, 4, 2
 _MANIFEST = "_cg_shard string, _cg_level int, _cg_first long, _cg_runs long, _cg_docs long, _cg_bytes long, _cg_path string"
 
 
 def arrivals(docs: DataFrame, each: int = ARRIVAL_BYTES, first: int = 0) -> DataFrame:
-    """docs with _cg_bytes and _cg_arrival, its place in the append order by running bytes.
+    """docs with _cg_bytes and _cg_arrival: as many arrivals as hold about each bytes, dealt by hash of doc_id.
 
-    The running sum is taken per hash bucket and over the bounded table of buckets.
+    The one pass before it counts bytes; no row is moved to be placed.
     """
-    d = docs.withColumn("_cg_bytes", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long"))
-    d = d.withColumn("_cg_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cg_bucket", F.substring("_cg_key", 1, 4))
-    totals = d.groupBy("_cg_bucket").agg(F.sum("_cg_bytes").alias("_cg_sum"))
-    ahead = totals.select(F.col("_cg_bucket").alias("_cg_b"), (F.sum("_cg_sum").over(Window.orderBy("_cg_bucket")) - F.col("_cg_sum")).alias("_cg_ahead"))
-    within = Window.partitionBy("_cg_bucket").orderBy("_cg_key", "doc_id", "_cg_bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_cg_start", F.sum("_cg_bytes").over(within) - F.col("_cg_bytes"))
-    d = d.join(F.broadcast(ahead), F.col("_cg_bucket") == F.col("_cg_b"))
-    return d.withColumn("_cg_arrival", F.expr(f"{first}L + (_cg_start + _cg_ahead) DIV {each}")).drop("_cg_key", "_cg_bucket", "_cg_b", "_cg_ahead", "_cg_start")
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    return docs.withColumn("_cg_bytes", size).withColumn("_cg_arrival", F.shiftright(key * blocks(total, each), 32) + first)
 
 
 def level_of(arrival: Column, total: Column) -> Column:
@@ -139,7 +135,7 @@ def shard(docs: DataFrame, folder: str | None = None, each: int = ARRIVAL_BYTES)
     store.vacuum()
     out = store.read()
     if out is None:
-        out = arrivals(docs.limit(0), each).withColumn("_cg_level", F.lit(0)).withColumn("_cg_shard", F.lit(""))
+        out = docs.limit(0).withColumn("_cg_bytes", F.lit(0).cast("long")).withColumn("_cg_arrival", F.lit(0).cast("long")).withColumn("_cg_level", F.lit(0)).withColumn("_cg_shard", F.lit(""))
     return out
 
 
@@ -154,10 +150,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 _SQL = f"""
-WITH d AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents
+WITH n AS (
+  SELECT greatest(1, (sum(strlen(coalesce(text, ''))) + {ARRIVAL_BYTES} - 1) // {ARRIVAL_BYTES}) AS total FROM documents
 ), a AS (
-  SELECT doc_id, n_bytes, CAST((sum(n_bytes) OVER (ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_bytes) // {ARRIVAL_BYTES} AS BIGINT) AS arrival FROM d
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST((CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) * total) >> 32 AS BIGINT) AS arrival FROM documents, n
 ), m AS (
   SELECT *, max(arrival) OVER () + 1 AS total FROM a
 ), t AS (
