@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -159,19 +159,19 @@ def blocks(total: int, each: int, least: int = 1) -> int:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable, for each node of edges (a, b).
 
-    Alternates large-star and small-star; every round is one aggregation and one
-    join on the node, written to the shared folder. No group is collected.
+    Alternates large-star and small-star; a star is one window over the edges of a
+    node, which spills, and every round is written to the shared folder.
     """
     spark = edges.sparkSession
+    around = F.min("b").over(Window.partitionBy("a"))
     e = save(edges.where("a != b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        j = e.join(low, "a")
-        e = save(j.select("a", F.col("m").alias("b")).union(j.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        e = both.withColumn("m", F.least("a", around)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Each neighbour of a, and a itself, goes to the smallest of them.
+        links = e.withColumn("m", around).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("k"), "a", "m")
+        e = save(links.select(F.col("k").alias("a"), F.col("m").alias("b")).union(links.where("k != a").select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

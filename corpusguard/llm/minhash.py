@@ -24,7 +24,7 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 _MASK = (1 << 64) - 1
 TILE = 2048
-SMALL = 48
+SMALL = 24
 NEIGHBOURS, HUBS, OUTSIDE, ROUNDS = 3, 2, 3, 3
 _SIGNATURE = "doc_id long, n_shingles long, class_key binary, sketch binary, bands array<long>"
 
@@ -177,15 +177,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = save(_links(docs, pairs), "links")
     # What large tiles left out: likely pairs whose ends the links so far do not connect.
     large = members.where(F.col("members") > SMALL)
+    groups = save(components(links), "groups")
     for _ in range(ROUNDS):
-        named = large.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        named = large.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         named = named.withColumn("component", F.coalesce("component", "doc_id"))
         more = save(_candidates(named).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = save(_links(docs, more), "links")
         if found.isEmpty():
             break
-        links, pairs = links.union(found), pairs.union(more)
-    groups = components(links)
+        groups = save(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(found)), "groups")
+        pairs = pairs.union(more)
     rep = signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")
     out = rep.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
