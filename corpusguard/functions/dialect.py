@@ -6,6 +6,8 @@ meaning they have elsewhere, in one place.
 
 from __future__ import annotations
 
+import re
+
 
 class Dialect:
     flags = "(?imdU)"
@@ -99,7 +101,7 @@ class Check(Dialect):
     text = lit
 
     def rule(self, pattern: str, dotall: bool = False) -> str:
-        return self.lit(("(?ims)" if dotall else "(?im)") + pattern)
+        return self.lit(("(?ims)" if dotall else "(?im)") + re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern))
 
     def count(self, x, pattern, dotall=False):
         return f"len(regexp_extract_all({x}, {self.rule(pattern, dotall)}))"
