@@ -90,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, most: int = MOST) -> np.nd
     picked = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     one = texts.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").select("text", "quality")
-    return np.frombuffer(one.mapInArrow(_learn, "weights binary").first()[0], np.float32)
+    learned = one.mapInArrow(_learn, "weights binary").first()
+    return np.frombuffer(learned[0], np.float32) if learned else np.zeros(BUCKETS + 2, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
