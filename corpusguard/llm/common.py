@@ -7,6 +7,7 @@ longest document, never the partition. A null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -143,6 +144,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffle_cleanup(spark: SparkSession):
+    """Within it, an execution drops its shuffle files when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again; cuts the lineage."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import blocks, release, root
+from corpusguard.llm.common import blocks, root, shuffle_cleanup
 
 ARRIVAL_BYTES, FANOUT, TOP = 8 << 20, 4, 2
 _MANIFEST = "_cg_shard string, _cg_level int, _cg_first long, _cg_runs long, _cg_docs long, _cg_bytes long, _cg_path string"
@@ -79,8 +79,8 @@ class Store:
     def _write(self, rows: DataFrame) -> DataFrame:
         """Write rows, one file for each _cg_shard, and return their lines of the manifest."""
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        rows.repartition("_cg_shard").withColumn("_cg_dir", F.col("_cg_shard")).write.partitionBy("_cg_dir").option("compression", "zstd").parquet(path)
-        release(self.spark)
+        with shuffle_cleanup(self.spark):
+            rows.repartition("_cg_shard").withColumn("_cg_dir", F.col("_cg_shard")).write.partitionBy("_cg_dir").option("compression", "zstd").parquet(path)
         own = self.spark.read.schema(rows.schema).parquet(path) if rows.schema else rows
         lines = own.groupBy("_cg_shard", "_cg_level").agg(F.min("_cg_arrival").alias("_cg_first"), F.countDistinct("_cg_arrival").alias("_cg_runs"), F.count("*").alias("_cg_docs"), F.sum("_cg_bytes").alias("_cg_bytes"))
         return lines.withColumn("_cg_path", F.concat(F.lit(f"{path}/_cg_dir="), "_cg_shard"))
