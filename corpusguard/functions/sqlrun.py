@@ -15,14 +15,17 @@ def chain(steps: Steps, last: str) -> str:
 
 
 def run(steps: Steps, last: str, **inputs: DataFrame) -> DataFrame:
-    """The last SELECT over the steps, with inputs as tables of the given names."""
+    """The last SELECT over the steps, with inputs as tables of the given names.
+
+    Global views, as a stream's batches belong to a session of their own.
+    """
     spark = next(iter(inputs.values())).sparkSession
     names = []
     for name, df in inputs.items():
         view = f"cg_{name}_{uuid.uuid4().hex[:12]}"
-        df.createOrReplaceTempView(view)
-        names.append((name, f"SELECT * FROM {view}"))
+        df.createOrReplaceGlobalTempView(view)
+        names.append((name, f"SELECT * FROM global_temp.{view}"))
     out = spark.sql(chain([*names, *steps], last))
     for name, sql in names:
-        spark.catalog.dropTempView(sql.rsplit(" ", 1)[1])
+        spark.catalog.dropGlobalTempView(sql.rsplit(".", 1)[1])
     return out

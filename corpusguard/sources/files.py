@@ -30,9 +30,8 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("txt", "do
 
 
 def decode_text(content: Column) -> Column:
-    """Bytes as UTF-8 (a leading mark removed) where valid, as Korean Windows text otherwise."""
-    utf = F.try_validate_utf8(content.cast("string"))
-    return strip(F.regexp_replace(F.coalesce(utf, F.decode(content, "UTF-8")), "^﻿", ""))
+    """Bytes as UTF-8, a leading mark removed and invalid bytes replaced."""
+    return strip(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", ""))
 
 
 def _paragraphs(data: bytes) -> list[tuple[str, int | None, int | None, int | None, str]]:
