@@ -8,7 +8,6 @@ longest document, never the partition. A null text counts as empty everywhere.
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -138,12 +137,6 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession):
     """Within it, an execution drops its shuffle files when it ends."""
@@ -163,8 +156,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{root(spark)}/corpusguard/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    with shuffle_cleanup(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
