@@ -205,7 +205,7 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The merge hints keep one plan at every size: texts move by key, never by broadcast.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = save(texts, "texts").hint("merge")
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
