@@ -3,7 +3,8 @@
 One bijection of 32-bit words scatters the shingles; a second one, applied after
 a circular shift by k, gives coordinate k of the signature. Bands of coordinates
 gather candidates, an estimate from the signatures thins them, and a join with
-the whole texts confirms every link on full shingle sets.
+the whole texts confirms every link on full shingle sets. Buckets too large for one
+task are compared tile by tile, then block by block between the components left.
 
 Defined results: a null or blank text has an empty set and is its own component;
 a text with fewer words than a shingle is one shingle of all its words; rows with
@@ -24,8 +25,11 @@ from corpusguard.llm.common import components, distinct, mix, save, shingles, sl
 COORDINATES, ROWS, BANDS = 512, 4, 32
 _MASK = (1 << 64) - 1
 TILE = 2048
+#: Bytes of shingle sets in one part of a block.
+ROOM = 32 << 20
 SMALL = 24
 OUTSIDE = 3
+EVERY = 1 << 30
 _SIGNATURE = "doc_id long, n_shingles long, class_key binary, sketch binary, bands array<long>"
 
 
@@ -195,6 +199,87 @@ def _sets(column):
             yield uniq[uo[r] : uo[r + 1]]
 
 
+def _shingle_sets(batches):
+    for batch in batches:
+        sets = pa.array([x.tobytes() for x in _sets(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc_id", "shingles"])
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coordinates in which packed sketches x (rows of 64-bit words) differ from y."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+def _block_links(batches):
+    """Links between the two sides of each block; rows come sorted by block. Every likely
+    pair of two components, of two tiles, that shares no bucket of an earlier band is
+    checked on its full sets, unless the links found in the block join its ends already."""
+    for table in whole_groups(batches, "block"):
+        block, ids, part, tile, band = (table.column(c).to_numpy() for c in ("block", "doc_id", "part", "tile", "band"))
+        label, own = table.column("component").to_numpy().copy(), table.column("own").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        marks = table.column("marks").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        found: list[list[int]] = [[], []]
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(ids)), strict=True):
+            left = np.arange(lo, hi)
+            right = left
+            if not own[lo]:
+                left, right = left[part[lo:hi] == part[lo:hi].min()], left[part[lo:hi] == part[lo:hi].max()]
+                if left[0] == right[0]:
+                    continue
+            for j in right:
+                i = left[(label[left] != label[j]) & (tile[left] != tile[j]) & _sizes_allow(size[left], size[j])]
+                if own[lo]:
+                    i = i[i < j]
+                i = i[~(marks[i, : band[lo]] == marks[j, : band[lo]]).any(1)]
+                apart = _differing(sketch[i], sketch[j])
+                likely = apart <= COORDINATES - LEAST
+                for k in i[likely][np.argsort(apart[likely], kind="stable")]:
+                    if label[k] == label[j]:
+                        continue
+                    common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if 100 * common >= 75 * (size[k] + size[j] - common):
+                        found[0].append(min(ids[k], ids[j]))
+                        found[1].append(max(ids[k], ids[j]))
+                        inside = label[lo:hi]
+                        inside[inside == label[k]] = label[j]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+
+def _across(docs: DataFrame, reps: DataFrame, huge: DataFrame, groups: DataFrame) -> DataFrame:
+    """The links between the tiles of huge buckets that groups still lacks.
+
+    The largest component of a bucket needs no comparison within itself: it and the
+    other members are dealt to parts, and each part of the others meets every part.
+    """
+    ids = huge.select("doc_id").distinct()
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(_shingle_sets, "doc_id long, shingles binary")
+    marks = F.transform("bands", lambda x: F.hash(x)).alias("marks")
+    held = save(reps.select("doc_id", "n_shingles", "sketch", marks).hint("merge").join(sets.hint("merge"), "doc_id"), "sets")
+    named = huge.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = named.join(held.select("doc_id", "n_shingles"), "doc_id")
+    counts = named.groupBy("band", "hash", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    stats = counts.groupBy("band", "hash").agg(F.max(F.struct("n", "size", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.ceil(F.greatest(n / TILE, 8 * size / ROOM)).cast("long")
+    main = F.col("main")
+    stats = stats.where(F.col("n") > main["n"]).select("band", "hash", main["component"].alias("largest"), parts(main["n"], main["size"]).alias("mains"), parts(F.col("n") - main["n"], F.col("size") - main["size"]).alias("others"))
+    dealt = F.xxhash64("doc_id")
+    is_main = F.col("component") == F.col("largest")
+    placed = named.drop("n_shingles").join(stats, ["band", "hash"]).withColumn("part", F.when(is_main, F.pmod(dealt, "mains")).otherwise(F.col("mains") + F.pmod(dealt, "others")))
+    met = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    placed = placed.select("doc_id", "component", F.col("band").cast("byte").alias("band"), "hash", "tile", "part", met.alias("met")).join(held.drop("n_shingles").hint("merge"), "doc_id")
+    blocks = placed.withColumn("with", F.explode("met")).withColumn("block", F.xxhash64("band", "hash", F.least("part", "with"), F.greatest("part", "with")))
+    blocks = blocks.select("block", "doc_id", "part", "tile", "band", "component", (F.col("part") == F.col("with")).alias("own"), "sketch", "marks", "shingles")
+    return blocks.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_block_links, "a long, b long").distinct()
+
+
 def _candidates(members: DataFrame, nearest: int = 0) -> DataFrame:
     columns = ["bucket", "doc_id", "n_shingles", "sketch", "band", "marks", *(["component"] if nearest else [])]
     return members.select(*columns).repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_tiles(nearest), "a long, b long").distinct()
@@ -212,6 +297,11 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").mapInArrow(_verify, "a long, b long")
 
 
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """groups with the links found since."""
+    return save(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(found)), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -220,8 +310,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "hash"))
     shared = rows.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
-    members = rows.join(shared, ["band", "hash"]).withColumn("tile", F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("members") / TILE)))
-    members = members.select("doc_id", F.struct(F.xxhash64("band", "hash", "tile").alias("bucket"), F.col("band").cast("byte").alias("band"), "members").alias("in"))
+    tiled = rows.join(shared, ["band", "hash"]).withColumn("tile", F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("members") / TILE)))
+    members = tiled.select("doc_id", F.struct(F.xxhash64("band", "hash", "tile").alias("bucket"), F.col("band").cast("byte").alias("band"), "members").alias("in"))
     members = members.groupBy("doc_id").agg(F.collect_list("in").alias("all")).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
     marks = F.transform("all", lambda x: F.named_struct(F.lit("band"), x["band"], F.lit("mark"), F.hash(x["bucket"])))
     members = save(members.select("doc_id", "n_shingles", "sketch", marks.alias("marks"), F.inline("all")), "members")
@@ -231,14 +321,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # connect; first the nearest of each member, then all that are left.
     large = members.where(F.col("members") > SMALL)
     groups = save(components(links), "groups")
-    for nearest in (OUTSIDE, TILE):
+    for nearest in (OUTSIDE, EVERY):
         named = large.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         named = named.withColumn("component", F.coalesce("component", "doc_id"))
         more = save(_candidates(named, nearest).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = save(_links(docs, more), "links")
         if not found.isEmpty():
-            groups = save(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(found)), "groups")
+            groups = _joined(groups, found)
         pairs = pairs.union(more)
+    # What the tiles left out: pairs of one bucket that no tile holds together.
+    if not members.where(F.col("members") > TILE).isEmpty():
+        found = save(_across(docs, reps, tiled.where(F.col("members") > TILE).select("doc_id", "band", "hash", "tile"), groups), "links")
+        if not found.isEmpty():
+            groups = _joined(groups, found)
     rep = signed.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")
     out = rep.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))

@@ -75,6 +75,29 @@ def test_minhash(docs, rows, empty):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_minhash_across_tiles(spark, monkeypatch):
+    """Documents of one template, few of them near copies, in buckets of many tiles."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    r = random.Random(11)
+    core = [f"core{k}" for k in range(163)]
+    texts = [core + [f"own{i}x{k}" for k in range(29)] for i in range(160)]
+    for k in range(40):
+        texts[2 * k + 1] = texts[2 * k][:-26] + texts[2 * k + 1][-26:]
+    r.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b]):
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    assert len(set(parent)) == 120
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == parent
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 1), (20, 3)], "a long, b long")
     assert {(r.node, r.component) for r in common.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (20, 1), (8, 8), (9, 8)}
