@@ -1,11 +1,12 @@
 """Benchmark decontamination by edit distance (operator 9).
 
-A window of as many words as a benchmark item holds it if a quarter of the
-item's words in edits turn one into the other. Windows that share too few word
-q-grams with the item cannot (q-gram lemma) and are left out; the rest walk
-through random CGK embeddings, which turn few edits into few differing
-coordinates; windows that agree with the item on a sample of coordinates in one
-of many repetitions are verified with the exact edit distance.
+A passage of any length holds a benchmark item if a quarter of the item's words
+in edits turn one into the other. Windows that share too few word q-grams with the
+item cannot (q-gram lemma) and are left out; the rest, as many words as the item
+each, walk through random CGK embeddings, which turn few edits into few differing
+coordinates; windows that agree with the item on a sample of coordinates in one of
+many repetitions are widened by the edits allowed, and the nearest passage within
+is found by the exact edit distance.
 
 Defined results: null or blank texts and items match nothing; an item of fewer
 than four words must occur word for word; a document shorter than the item is one
@@ -79,6 +80,21 @@ def edit_distance(item: np.ndarray, w: np.ndarray, lens: np.ndarray) -> np.ndarr
     return row[np.arange(n), lens]
 
 
+def nearest_inside(item: np.ndarray, w: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end) of the passage nearest to item in the first lens words of each row of w."""
+    n, m = w.shape
+    cols = np.arange(m + 1)
+    row = np.zeros((n, m + 1), np.int32)
+    for i, x in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (w != x), out=new[:, 1:])
+        row = np.minimum.accumulate(new - cols, axis=1) + cols
+    row = np.where(cols > lens[:, None], len(item) + 1, row)
+    end = row.argmin(1)
+    return row[np.arange(n), end], end
+
+
 class Items:
     """Word hashes of benchmark items with their q-grams, edits allowed and LSH keys."""
 
@@ -106,7 +122,7 @@ class Items:
                 self.postings[q] = uniq, np.append(first, len(key)), item[order], at[order], bloom
 
     def find(self, h: np.ndarray, woffs: np.ndarray):
-        """(row, item, first word, words, distance) of the best window of each row that holds an item."""
+        """(row, item, first word, words, distance) of the best passage of each row that holds an item."""
         rows = np.repeat(np.arange(len(woffs) - 1), np.diff(woffs))
         for q, (uniq, first, items, offs, bloom) in self.postings.items():
             g = _grams(h, q)
@@ -124,7 +140,7 @@ class Items:
             pair, pos, start = pair[order], pos[order], start[order]
             it = pair % len(self.ids)
             last = np.minimum(np.arange(len(pair)) + self.least[it] - 1, len(pair) - 1)
-            dense = (np.arange(len(pair)) + self.least[it] <= len(pair)) & (pair[last] == pair) & (pos[last] - pos < self.size[it])
+            dense = (np.arange(len(pair)) + self.least[it] <= len(pair)) & (pair[last] == pair) & (pos[last] - pos < self.size[it] + self.edits[it])
             cover = np.zeros(len(pair) + 1, np.int64)
             np.add.at(cover, np.flatnonzero(dense), 1)
             np.add.at(cover, last[dense] + 1, -1)
@@ -144,12 +160,18 @@ class Items:
                 w = np.where(idx < hi, h[np.minimum(idx, hi - 1)], _PAD)
                 hit = (_keys(w) == self.keys[i]).any(1)
                 if hit.any():
-                    d = edit_distance(self.words[i], w[hit], np.minimum(hi - at[hit], size))
+                    a, z = np.maximum(at[hit] - e, lo), np.minimum(at[hit] + size + e, hi)
+                    wide = h[np.minimum(a[:, None] + np.arange(size + 2 * e), hi - 1)]
+                    d, end = nearest_inside(self.words[i], wide, z - a)
                     b = int(np.argmin(d))
-                    if d[b] <= e and (best is None or d[b] < best[1]):
-                        best = int(at[hit][b]), int(d[b])
+                    if d[b] <= e and (best is None or d[b] < best[2]):
+                        best = int(a[b]), int(end[b]), int(d[b])
             if best:
-                yield row, i, best[0] - lo, min(size, hi - best[0]), best[1]
+                a, n, d = best
+                back, k = h[a : a + n][::-1], np.arange(n + 1)
+                lengths = edit_distance(self.words[i][::-1], np.broadcast_to(back, (n + 1, n)), k)
+                n = int(np.argmin(lengths))
+                yield row, i, a + len(back) - n - lo, n, d
 
 
 def _scan(items):
@@ -183,7 +205,7 @@ def item_blocks(bench: DataFrame):
 
 
 def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, distance: the best window of each document that holds an item."""
+    """doc_id, item_id, start_word, n_words, distance: the best passage of each document that holds an item."""
     spark = docs.sparkSession
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], _SCHEMA)

@@ -264,6 +264,17 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.edit_distance(np.array([1, 2, 3], np.uint64), np.array([[1, 3, 0]], np.uint64), np.array([2])).tolist() == [1]
 
 
+def test_decontamination_of_shorter_and_longer_passages(spark):
+    r = random.Random(3)
+    item = [f"i{k}" for k in range(20)]
+    around = lambda x: " ".join([f"a{r.random()}" for _ in range(30)] + x + [f"b{r.random()}" for _ in range(30)])
+    cut, more = [item[:p] + item[p + 4 :] for p in range(6, 12)], [item[:p] + ["w", "x", "y", "z"] + item[p:] for p in range(8, 13)]
+    docs = spark.createDataFrame(list(enumerate(around(x) for x in [*cut, *more, item[:7] + item[14:]])), "doc_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(11))
+    assert {(x.start_word, x.n_words, x.distance) for i, x in got.items()} == {(30, 16, 4), (30, 24, 4)}
+
+
 def test_licences(docs, empty, spark):
     assert [(r.doc_id, r.license, r.n_matches) for r in licenses.scan(docs).collect()] == [(14, "MIT", 1)]
     wrapped = "Intro.\n" + licenses.SENTENCES[16].replace(" under", "\nunder").capitalize() + ". Released under the MIT License. Released under the MIT License."
