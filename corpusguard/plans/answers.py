@@ -35,9 +35,9 @@ _KEYWORDS = """WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[가-
 
 
 def query_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of questions in the vocabulary of the rules, one for each fixed question."""
-    rows = [(0, '"Alpha" "Beta" 비교'), (1, "장학 규정 문서의 신청 기간은?"), (2, "요약해줘"), (3, "hello")]
-    p = Q.profile(spark.createDataFrame(rows, "query_id long, text string"))
+    """Profiles of the benchmark texts, one for each."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    p = Q.profile(b.select(F.col("item_id").cast("long").alias("query_id"), "text"))
     return p.select("query_id", F.size("keywords").alias("n_keywords"), F.array_join("fields", ",").alias("fields"), F.array_join("compare_entities", ",").alias("entities"), "is_compare", "is_summary", "exact_lookup", Q.use_rag(F.col("text"), F.lit(0.5), F.lit(1.0)).alias("rag"))
 
 

@@ -235,7 +235,7 @@ _CONFUSION = """WITH x AS (SELECT lang, toxic = 1 AS t, length(text) > 1500 AS h
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id")
-    out = E.contaminate(d.where(f"NOT ({SPLICE})"), d.where(f"{SPLICE} AND doc_id < 60"), 0.05)
+    out = E.contaminate(d.where(f"NOT ({SPLICE})"), d.where(SPLICE), 0.05)
     return out.agg(F.count("*").alias("total"), F.count_if("attack").alias("attack"), F.countDistinct("chunk_id").alias("distinct_ids"))
 
 

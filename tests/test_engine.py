@@ -117,3 +117,16 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_read_whole_tables(spark):
+    from corpusguard.plans import answers, search
+
+    folder = "/root/testdata/sf0.001"
+    items = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    assert {r.query_id for r in answers.query_profile(spark, folder).collect()} == items
+    drawn = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search.E, "contaminate", lambda benign, attack, rate: drawn.append(attack) or benign.withColumn("attack", F.lit(False)))
+        search.contamination(spark, folder)
+    assert drawn[0].count() == spark.read.parquet(f"{folder}/documents.parquet").where(search.SPLICE).count()
