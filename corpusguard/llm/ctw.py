@@ -13,7 +13,8 @@ mixture ends at the deepest one that was.
 
 Defined results: a null text is empty and scores its end mark; rows with equal
 doc_id are scored each; a null doc_id counts as training; without training rows
-every decision costs one bit; other columns are ignored.
+every decision costs one bit; other columns are ignored. bits_per_byte is the code
+length of the words so joined, by their bytes and the end mark.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusguard.llm.common import _LOWER, _WS, blocks, save, slices, words
 
 DEPTH = 5
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 32 << 20
 _START, _END = 0xFE, 0xFF
 _END_WORD = np.uint64(0x5EED0FE4D)
 _GRAM, _WORD = 0, 1
@@ -75,17 +76,40 @@ def _tally(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return uniq, np.bincount(where, n, len(uniq)).astype(np.int64)
 
 
+class Tally:
+    """Distinct keys and how often training rows have them, merged as slices come: no more is held than about twice the distinct keys."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, key: np.ndarray, train: np.ndarray) -> None:
+        seen, n = np.unique(key[train], return_counts=True)
+        other = np.unique(key[~train])
+        self.parts.append(_tally(np.concatenate([seen, other]), np.concatenate([n, np.zeros(len(other), np.int64)])))
+        while len(self.parts) > 1 and 2 * len(self.parts[-1][0]) > len(self.parts[-2][0]):
+            self._join()
+
+    def _join(self) -> None:
+        (a, m), (b, n) = self.parts.pop(), self.parts.pop()
+        self.parts.append(_tally(np.concatenate([a, b]), np.concatenate([m, n])))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.parts) > 1:
+            self._join()
+        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def _count(table):
     """The distinct n-grams and words of a block and how often its training rows have them."""
-    parts: dict[int, list] = {_GRAM: [], _WORD: []}
+    parts = {_GRAM: Tally(), _WORD: Tally()}
     train = ~table.column("held_out").to_numpy()
     for i, j, data, offs in slices(table.column("text")):
         for kind, (key, o) in ((_GRAM, grams(*canonical(data, offs))), (_WORD, row_words(data, offs))):
-            parts[kind].append(_tally(key, np.repeat(train[i:j], np.diff(o))))
+            parts[kind].add(key, np.repeat(train[i:j], np.diff(o)))
     out = []
     block = table.column("block")[0].as_py()
     for kind, found in parts.items():
-        key, n = _tally(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+        key, n = found.result()
         out.append(pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), "block": pa.array(np.full(len(key), block, np.int32)), "n": n}))
     return pa.concat_tables(out)
 
@@ -131,11 +155,11 @@ def _score(total_words: int, distinct_words: int):
         find, logs = Lookup(key[is_gram]), np.append(value[is_gram], np.nan)
         train = ~texts.column("held_out").to_numpy()
         # Words that no other block has were not sent back: their count is the block's own.
-        parts = []
+        seen = Tally()
         for i, j, data, offs in slices(texts.column("text")):
             h, o = row_words(data, offs)
-            parts.append(_tally(h, np.repeat(train[i:j], np.diff(o))))
-        own, count = _tally(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+            seen.add(h, np.repeat(train[i:j], np.diff(o)))
+        own, count = seen.result()
         word = Lookup(own)
         count[word(key[~is_gram])] = total[~is_gram]
         cost = np.log10((count + 0.1) / (total_words + 0.1 * (distinct_words + 1)))
@@ -206,7 +230,7 @@ def code_lengths(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> D
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = blocks(size, block_bytes)
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     seen = d.groupBy("block").applyInArrow(_count, "kind int, key long, block int, n long")
     by_key = Window.partitionBy("kind", "key")
     seen = seen.withColumns({"total": F.sum("n").over(by_key), "first": F.row_number().over(by_key.orderBy("block")) == 1})

@@ -1,18 +1,21 @@
 """Repeated byte strings by a run-length index (operator 4).
 
 Every MATCH-byte window has one anchor, the smallest hashed K-gram in it. Only the
-surroundings of anchors that two documents share can hold repeated windows; they
-are dealt by anchor, so all copies of a window meet in one shard. A shard collapses
-equal surroundings, builds their Burrows-Wheeler transform as runs with the text
-positions of run ends, and streams each surrounding backwards through it: the
-matching length with the preceding suffix grows by one inside a run, and is
-compared afresh from a sampled run end at its head. Suffixes that match over
-MATCH bytes form a class; the smallest document of a class keeps its bytes.
-
-Defined results: a null text is empty; a text under MATCH bytes loses nothing;
-equal texts are one class, of which the smallest doc_id is searched and the others
-lose everything; rows with one doc_id are one document's versions and never match
-each other; a null doc_id is left out; other columns are ignored.
+surroundings of anchors that two documents share can hold repeated windows. Equal
+surroundings of an anchor are one form: where a smaller document has the same form,
+all of its windows repeat there, and no text is looked at. A window that two forms
+share reaches SIDE bytes beyond the anchor on one side at least, so of the first
+holders of forms only those are looked at that agree with another form on a side;
+they are dealt by anchor, and all forms that hold a window meet in one shard. A shard builds the Burrows-Wheeler transform
+of the forms as runs with the text positions of run ends, and streams each form
+backwards through it: the matching length with the preceding suffix grows by one
+inside a run, and is compared afresh from a sampled run end at its head. Suffixes
+that match over MATCH bytes form a class; the smallest document of a class keeps
+its bytes.
+
+Defined results: a null text is empty; a text under MATCH bytes loses nothing; rows
+with one doc_id are one document's versions, each judged by its own text, and never
+match each other; a null doc_id is left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import mix, save, slices
+from corpusguard.llm.common import _TABLE, mix, powers, save, slices
 
 MATCH, K = 50, 16
 AROUND = MATCH - K
 CHUNK = 24_000
+SIDE = AROUND // 2
 _STRIDE = 96
+_SEED = "anchor long, doc_id long, place long, form long, more long"
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -78,12 +83,23 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def _seeds(batches):
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for i, j, data, offs in slices(batch.column(1)):
+        ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, j, data, offs in slices(batch.column(2)):
             at = anchors(data, offs)
-            if len(at):
-                row = np.searchsorted(offs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(_grams(data)[at].view(np.int64)), pa.array(ids[i:j][row]), pa.array((at - offs[row]).astype(np.int32))], ["anchor", "doc_id", "pos"])
+            if not len(at):
+                continue
+            row = np.searchsorted(offs, at, "right") - 1
+            start, end = np.maximum(at - AROUND, offs[row]), np.minimum(at + MATCH, offs[row + 1])
+            p, q = powers(len(data))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * p)])
+            of = lambda a, b: mix((total[b] - total[a]) * q[a] + (b - a).astype(np.uint64))  # noqa: B023, E731
+            pos = at - offs[row]
+            # 15 bits of what follows and of what precedes, none where the text ends before SIDE bytes; the version below.
+            after = np.where(end - at >= K + SIDE, of(at, np.minimum(at + K + SIDE, len(data))) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
+            before = np.where(pos >= SIDE, of(np.maximum(at - SIDE, 0), at) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
+            more = after << np.uint64(48) | before << np.uint64(32) | versions[i:j][row].view(np.uint32).astype(np.uint64)
+            cols = _grams(data)[at] >> np.uint64(16), ids[i:j][row], pos << 6 | end - at, of(start, end), more
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["anchor", "doc_id", "place", "form", "more"])
 
 
 def _surroundings(batches):
@@ -92,7 +108,7 @@ def _surroundings(batches):
         ho = hits.offsets.to_numpy() - hits.offsets[0].as_py()
         values = hits.flatten()
         pos, anchor = values.field("pos").to_numpy(), values.field("anchor").to_numpy()
-        ids = batch.column("doc_id").to_numpy()
+        ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
         for i, j, data, offs in slices(batch.column("text")):
             p, a = pos[ho[i] : ho[j]].astype(np.int64), anchor[ho[i] : ho[j]]
             row = np.repeat(np.arange(j - i), np.diff(ho[i : j + 1]))
@@ -101,7 +117,7 @@ def _surroundings(batches):
             ends = np.cumsum(lens)
             at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens) + np.repeat(offs[row] + start, lens)
             around = pa.Array.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i:j][row]), pa.array(start.astype(np.int32)), around], ["anchor", "doc_id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i:j][row]), pa.array(versions[i:j][row]), pa.array(start.astype(np.int32)), around], ["anchor", "doc_id", "version", "start", "bytes"])
 
 
 class RunLengthIndex:
@@ -216,12 +232,12 @@ def _remove(table: pa.Table, known):
     Documents come in ascending order within an anchor, so what is carried over
     holds the smallest document of every window so far.
     """
-    anchor, doc, start = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
+    anchor, doc, version, start = (table.column(c).to_numpy() for c in ("anchor", "doc_id", "version", "start"))
     texts = table.column("bytes").to_pylist()
     if known is not None and known[0][0] == anchor[0]:
         carried = len(known[2])
         anchor, doc, texts = np.concatenate([known[0], anchor]), np.concatenate([known[1], doc]), known[2] + texts
-        start = np.concatenate([np.full(carried, -1, start.dtype), start])
+        start, version = (np.concatenate([np.full(carried, -1, x.dtype), x]) for x in (start, version))
     index: dict[bytes, int] = {}
     where = np.array([index.setdefault(x, len(index)) for x in texts])
     low = np.full(len(index), np.iinfo(np.int64).max)
@@ -241,7 +257,7 @@ def _remove(table: pa.Table, known):
     np.minimum.at(least, got[ok], np.repeat(low, ok.sum(1)))
     out = []
     for a in range(0, len(where), 1 << 14):
-        w, d, s = where[a : a + (1 << 14)], doc[a : a + (1 << 14)], start[a : a + (1 << 14)]
+        w, d, v, s = (x[a : a + (1 << 14)] for x in (where, doc, version, start))
         gone = np.zeros((len(w), _STRIDE + 2), np.int8)
         g = got[w]
         gone[:, 1:-1] = (g >= 0) & (least[g] < d[:, None]) & (s >= 0)[:, None]
@@ -249,7 +265,7 @@ def _remove(table: pa.Table, known):
         r, c = np.nonzero(edge == 1)
         _, e = np.nonzero(edge == -1)
         if len(r):
-            out.append(pa.RecordBatch.from_arrays([pa.array(d[r]), pa.array((s[r] + c).astype(np.int32)), pa.array((s[r] + e - 1 + MATCH).astype(np.int32))], ["doc_id", "start", "end"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(d[r]), pa.array(v[r]), pa.array((s[r] + c).astype(np.int32)), pa.array((s[r] + e - 1 + MATCH).astype(np.int32))], ["doc_id", "version", "start", "end"]))
     keep = np.flatnonzero(anchor == anchor[-1])
     firsts = {}
     for i in keep:
@@ -260,7 +276,7 @@ def _remove(table: pa.Table, known):
 
 def _cut(batches):
     for batch in batches:
-        spans, copies = batch.column("spans"), batch.column("copy").to_pylist()
+        spans = batch.column("spans")
         so = spans.offsets.to_numpy() - spans.offsets[0].as_py()
         values = spans.flatten()
         first, last = values.field("start").to_numpy(), values.field("end").to_numpy()
@@ -269,12 +285,7 @@ def _cut(batches):
             for r in range(i, j):
                 b = data[offs[r - i] : offs[r - i + 1]]
                 s, e = first[so[r] : so[r + 1]], last[so[r] : so[r + 1]]
-                if copies[r]:
-                    s, e = (np.zeros(1, np.int32), np.full(1, len(b), np.int32)) if len(b) >= MATCH else (s[:0], e[:0])
-                edge = np.zeros(len(b) + 1, np.int32)
-                np.add.at(edge, s, 1)
-                np.add.at(edge, e, -1)
-                gone = np.cumsum(edge)[:-1] > 0
+                gone = np.cumsum(np.bincount(s, minlength=len(b) + 1) - np.bincount(e, minlength=len(b) + 1))[:-1] > 0
                 size.append(len(b))
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
@@ -282,30 +293,41 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """doc_id, start, end: bytes of texts that repeat in a document with a smaller doc_id; spans may overlap.
+def shared_anchors(docs: DataFrame) -> DataFrame:
+    """doc_id, version, pos, room, anchor, first: places of anchors that two documents hold.
 
-    copies: the doc_ids to leave out, as their texts are those of smaller ones.
+    first is the smallest document with the same form. Places without a smaller one are
+    kept where another form of the anchor agrees on a side.
     """
-    by_anchor = Window.partitionBy("anchor")
-    seeds = docs.mapInArrow(_seeds, "anchor long, doc_id long, pos int")
-    shared = seeds.withColumns({"low": F.min("doc_id").over(by_anchor), "high": F.max("doc_id").over(by_anchor)}).where("low < high").select("doc_id", "pos", "anchor")
-    shared = save(shared.join(copies.select("doc_id"), "doc_id", "left_anti"), "anchors")
-    hits = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("hits"))
-    around = docs.hint("merge").join(hits.hint("merge"), "doc_id").mapInArrow(_surroundings, "anchor long, doc_id long, start int, bytes binary")
+    by, form = Window.partitionBy("anchor"), Window.partitionBy("anchor", "form").orderBy("doc_id")
+    d = docs.mapInArrow(_seeds, _SEED).repartition("anchor").withColumn("first", F.min("doc_id").over(form))
+    d = d.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by), "several": F.min("form").over(by) != F.max("form").over(by)})
+    d = d.where("low < high and (first < doc_id or several)")
+    for side, shift in (("after", 48), ("before", 32)):
+        d = d.withColumn(side, F.expr(f"CAST(shiftrightunsigned(more, {shift}) & 65535 AS INT)"))
+        same = Window.partitionBy("anchor", side)
+        d = d.withColumn(f"{side}_shared", (F.col(side) != 0) & (F.min("form").over(same) != F.max("form").over(same)))
+    d = d.where("first < doc_id or after_shared or before_shared")
+    return d.selectExpr("doc_id", "CAST(shiftright(shiftleft(more, 32), 32) AS INT) AS version", "CAST(shiftright(place, 6) AS INT) AS pos", "CAST(place & 63 AS INT) AS room", "anchor", "first")
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, version, start, end: bytes of texts that repeat in a document with a smaller doc_id; spans may overlap."""
+    shared = save(shared_anchors(docs), "anchors")
+    whole = shared.where(f"first < doc_id and least(pos, {AROUND}) + room >= {MATCH}").selectExpr("doc_id", "version", f"greatest(0, pos - {AROUND}) AS start", "pos + room AS end")
+    hits = shared.where("first = doc_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("pos", "anchor")).alias("hits"))
+    around = docs.hint("merge").join(hits.hint("merge"), ["doc_id", "version"]).mapInArrow(_surroundings, "anchor long, doc_id long, version int, start int, bytes binary")
     around = around.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    return around.mapInArrow(_shards, "doc_id long, start int, end int")
+    return whole.union(around.mapInArrow(_shards, "doc_id long, version int, start int, end int"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
-    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keys = save(d.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key")), "keys")
-    firsts = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    copies = save(keys.join(firsts.withColumnRenamed("doc_id", "first"), "key").where("doc_id <> first").select("doc_id", F.lit(True).alias("copy")).distinct(), "copies")
-    spans = save(removed_spans(d, copies), "spans")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return d.hint("merge").join(spans.hint("merge"), "doc_id", "left").hint("merge").join(copies.hint("merge"), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("version"), text.alias("text"))
+    spans = save(removed_spans(d), "spans")
+    spans = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return d.hint("merge").join(spans.hint("merge"), ["doc_id", "version"], "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
