@@ -9,6 +9,24 @@ from __future__ import annotations
 import re
 
 
+_HANGUL = re.compile(r"[가-힣]|\\u[b-dB-D][0-9A-Fa-f]{3}")
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside all groups, each without its optional and inner alternative parts."""
+    out, depth, at = [""], 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        step = 2 if c == "\\" else 1
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        elif not depth or step == 2:
+            out[-1] += pattern[at : at + step] if not depth else ""
+        at += step
+    return out
+
+
 class Dialect:
     flags = "(?imdU)"
 
@@ -22,7 +40,9 @@ class Dialect:
         return self.lit(("(?s)" if dotall else "") + self.flags + pattern)
 
     def count(self, x: str, pattern: str, dotall: bool = False) -> str:
-        return f"regexp_count({x}, {self.rule(pattern, dotall)})"
+        """Matches of a rule; one that needs Hangul is tried only on text that has some."""
+        n = f"regexp_count({x}, {self.rule(pattern, dotall)})"
+        return f"CASE WHEN {x} RLIKE '[가-힣]' THEN {n} ELSE 0 END" if all(map(_HANGUL.search, _branches(pattern))) else n
 
     def has(self, x: str, pattern: str, dotall: bool = False) -> str:
         return f"({x} RLIKE {self.rule(pattern, dotall)})"

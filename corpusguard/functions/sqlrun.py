@@ -29,3 +29,14 @@ def run(steps: Steps, last: str, **inputs: DataFrame) -> DataFrame:
     for name, sql in names:
         spark.catalog.dropGlobalTempView(sql.rsplit(".", 1)[1])
     return out
+
+
+#: Bytes of input for each core below which a table's files may be too few to keep all cores busy.
+FEW_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is small, as a small file is one task; a larger table keeps its scan and is never moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(2 * cores) if size < cores * FEW_BYTES else df

@@ -97,10 +97,10 @@ def ratio(a: str, b: str) -> str:
 
 
 def pressure(d: Dialect, x: str) -> str:
-    """Raw parts of the semantic pressure of one half."""
+    """Raw parts of the semantic pressure of one half, the column x, with its lower case in low_x."""
     return d.struct(
         i=raw_of_text(d, x, fixed.INSTRUCTION_RULES), r=raw_of_text(d, x, fixed.REFUSAL_RULES), e=raw_of_text(d, x, fixed.EXPLICIT_RULES), n=d.size(tokens(d, x)), l=f"greatest(1, {d.size(lines(d, x))})",
-        m=markers(d, x), b=d.count(x, BULLET), p=terms(d, f"lower({x})", fixed.POLICY_TERMS), o=terms(d, f"lower({x})", fixed.MODAL_TERMS),
+        m=markers(d, x), b=d.count(x, BULLET), p=terms(d, f"low_{x}", fixed.POLICY_TERMS), o=terms(d, f"low_{x}", fixed.MODAL_TERMS),
     )
 
 
@@ -125,10 +125,11 @@ def feature_steps(d: Dialect, source: str) -> Steps:
         ("f_cut", "SELECT *, CAST(CASE WHEN sp >= greatest(1, mid - 80) THEN sp ELSE mid END AS INT) AS cut FROM f_mid"),
         ("f_half", f"""SELECT *, CASE WHEN n_sentences >= 4 THEN {d.join(d.part('sents', '1', f'CAST({half} AS INT)'), "' '")} ELSE {d.strip('substring(text, 1, cut)')} END AS front,
             CASE WHEN n_sentences >= 4 THEN {d.join(d.part('sents', f'CAST({half} + 1 AS INT)', 'CAST(n_sentences AS INT)'), "' '")} ELSE {d.strip('substring(text, cut + 1, length(text))')} END AS back FROM f_cut"""),
+        ("f_low", "SELECT *, lower(front) AS low_front, lower(back) AS low_back FROM f_half"),
         ("f_counts", f"""SELECT *, {counts(d, 'text', fixed.INSTRUCTION_RULES)} AS ci, {counts(d, 'text', fixed.REFUSAL_RULES)} AS cr, {counts(d, 'text', fixed.EXPLICIT_RULES)} AS ce,
             {terms(d, 'low', fixed.MODAL_TERMS)} AS modal_count, {terms(d, 'low', fixed.POLICY_TERMS)} AS policy_count, {markers(d, 'text')} AS marker_count, {d.count('text', BULLET)} AS bullet_count,
             CASE WHEN {d.has('text', MIDSTREAM, True)} THEN 1 ELSE 0 END AS midstream, CASE WHEN {d.has('text', SHIFT, True)} THEN 1 ELSE 0 END AS discourse,
-            {pressure(d, 'front')} AS pf, {pressure(d, 'back')} AS pb, {d.transform('lns', 'q', d.replace('lower(q)', chr(92) + 's+', "' '"))} AS nlns, {d.pairs('toks')} AS bigrams FROM f_half"""),
+            {pressure(d, 'front')} AS pf, {pressure(d, 'back')} AS pb, {d.transform('lns', 'q', d.replace('lower(q)', chr(92) + 's+', "' '"))} AS nlns, {d.pairs('toks')} AS bigrams FROM f_low"""),
         ("features", f"""SELECT *, CAST(length(text) AS DOUBLE) AS char_length, CAST(n_tokens AS DOUBLE) / greatest(1, n_sentences) AS avg_sentence_length, {ratio('modal_count', 'n_tokens')} AS modal_ratio, {ratio('policy_count', 'n_tokens')} AS policy_density,
             CAST(length({d.replace('text', kept_class(d), "''")}) AS DOUBLE) / greatest(1, length(text)) AS punctuation_density,
             CAST(marker_count AS DOUBLE) / greatest(1, n_lines) AS marker_density, CAST(bullet_count AS DOUBLE) / greatest(1, n_lines) AS bullet_density,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.functions.dialect import CHECK, SPARK, Dialect
-from corpusguard.functions.sqlrun import Steps, chain, run
+from corpusguard.functions.sqlrun import Steps, chain, run, spread
 from corpusguard.operators import chunking, detector, ingest
 
 #: Lines spliced into a seventh of the documents, so that rules fire: doc_id % 7 = 3 is the truth.
@@ -30,7 +30,7 @@ def chunk_steps(d: Dialect) -> Steps:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "lang")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "lang"))
 
 
 def _query(steps, last: str):
@@ -53,6 +53,11 @@ def _routed(d: Dialect) -> Steps:
     return _scored()(d) + ingest.context_steps()
 
 
+def _units(score: str) -> str:
+    """A score of four decimals as a whole number, so that no second rounding meets a tie."""
+    return f"CAST(floor({score} * 10000 + 0.5E0) AS BIGINT) AS {score}"
+
+
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows through the column functions; checked by the SQL form."""
     docs = run(spliced_sql(SPARK), "SELECT * FROM spliced", documents=_docs(spark, sf_dir))
@@ -104,8 +109,8 @@ QUERIES: dict = {
     "repetition_ratio": _query(_features, "SELECT doc_id, ordinal, round(repetition_ratio, 6) AS repetition_ratio FROM features"),
     "flow_and_semantic_shift": _query(_scored(), "SELECT doc_id, ordinal, CAST(midstream AS INT) AS midstream, CAST(discourse AS INT) AS discourse, flow_shift, round(semantic_shift, 6) AS semantic_shift FROM scored"),
     "corpus_stats": _query(lambda d: _features(d) + detector.stat_steps(), "SELECT stat_domain, " + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in detector.STATS for k in ("mean", "std")) + " FROM stats"),
-    "three_scores": _query(_scored(), "SELECT doc_id, ordinal, instructionality_score, refusal_inducing_score, round(outlier_score, 3) AS outlier_score FROM scored"),
-    "three_scores_no_stats": _query(_scored(with_stats=False), "SELECT doc_id, ordinal, round(outlier_score, 3) AS outlier_score, round(base_risk, 3) AS base_risk FROM scored"),
+    "three_scores": _query(_scored(), f"SELECT doc_id, ordinal, {_units('instructionality_score')}, {_units('refusal_inducing_score')}, {_units('outlier_score')} FROM scored"),
+    "three_scores_no_stats": _query(_scored(with_stats=False), f"SELECT doc_id, ordinal, {_units('outlier_score')}, {_units('base_risk')} FROM scored"),
     "risk_classify": _query(_scored(), "SELECT doc_id, ordinal, CAST(n_refusal + n_explicit AS BIGINT) AS n_patterns, round(adjusted_risk, 3) AS adjusted_risk, risk_level, triggered_rules FROM scored"),
     "risk_strict": _query(_scored("strict"), "SELECT risk_level, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_level"),
     "risk_research": _query(_scored("research"), "SELECT risk_level, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_level"),

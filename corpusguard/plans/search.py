@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.functions.dialect import CHECK, SPARK, Dialect
-from corpusguard.functions.sqlrun import Steps, chain, run
+from corpusguard.functions.sqlrun import Steps, chain, run, spread
 from corpusguard.operators import evaluation as E
 from corpusguard.operators import guard as G
 from corpusguard.operators import retrieval as R
@@ -52,11 +52,11 @@ def bm25_topk(idf: str):
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    return e, e.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vector")
+    return spread(e), e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
-_DENSE = f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)"
+_DENSE = f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
