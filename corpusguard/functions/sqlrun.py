@@ -38,5 +38,5 @@ FEW_BYTES = 32 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if it is small, as a small file is one task; a larger table keeps its scan and is never moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * cores) if size < cores * FEW_BYTES else df
