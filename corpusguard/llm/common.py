@@ -129,10 +129,12 @@ def distinct(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set (tests), an own one."""
+    """The shared folder of the cluster; where none is set, an own one in local mode (tests) and an error elsewhere."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = _own = _own or "file://" + tempfile.mkdtemp(prefix="corpusguard-")
     return folder.rstrip("/")
 
@@ -161,6 +163,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_ids(docs: DataFrame) -> DataFrame:
+    """docs with _cg_row, another number for each row and the same one whenever the rows are read.
+
+    A scan of files numbers its rows alike each time; anything else is written first.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    if any(not line.lstrip(" +-:").startswith(("Relation", "Project", "Filter", "LocalRelation")) for line in plan.strip().split("\n")):
+        docs = save(docs, "rows")
+    return docs.withColumn("_cg_row", F.monotonically_increasing_id())
+
+
 def blocks(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total) // each))
 

@@ -10,9 +10,11 @@ is found by the exact edit distance.
 
 Defined results: null or blank texts and items match nothing; an item of fewer
 than four words must occur word for word; a document shorter than the item is one
-window; repeated items and repeated rows are reported each; other columns are
-ignored, whatever their names. Items are sent to the executors in blocks of
-bounded size, so a benchmark of any size is compared whole.
+window; repeated items and repeated rows are reported each; rows with a null doc_id
+or item_id have no name to report and are left out of leaks(), while stage() judges
+every row by its own text; other columns are ignored, whatever their names. Items
+are sent to the executors one block of bounded size after another, so a benchmark
+of any size is compared whole.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import mix, slices, words
+from corpusguard.llm.common import mix, row_ids, save, slices, words
 
 ITEM_BLOCK = 4 << 20
 WALKS, SAMPLES, TAKEN = 8, 6, 3
@@ -208,10 +210,16 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, distance: the best passage of each document that holds an item."""
     spark = docs.sparkSession
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], _SCHEMA)
-    for k, items in enumerate(item_blocks(bench)):
-        found = d.mapInArrow(_scan(spark.sparkContext.broadcast(items)), _SCHEMA)
-        out = found if k == 0 else out.union(found)
+    found, last = [], None
+    for items in item_blocks(bench):
+        if last is not None:
+            # Only one block is held by the executors at a time.
+            found.append(save(d.mapInArrow(_scan(last), _SCHEMA), "leaks"))
+            last.destroy()
+        last = spark.sparkContext.broadcast(items)
+    out = d.mapInArrow(_scan(last), _SCHEMA) if last is not None else spark.createDataFrame([], _SCHEMA)
+    for x in found:
+        out = out.union(x)
     return out
 
 
@@ -221,8 +229,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")
+    rows = row_ids(docs)
+    found = leaks(rows.select(F.col("_cg_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_cg_row")).distinct()
+    return rows.join(found, "_cg_row", "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op9_cgk_decontamination": op9}

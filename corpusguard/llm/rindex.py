@@ -37,13 +37,13 @@ _STRIDE = 96
 _SEED = "anchor long, doc_id long, place long, form long, more long"
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def anchors(data: np.ndarray, offs: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
     """Bytes at which the anchors of the windows of the rows start, ascending; windows never cross rows."""
     n = len(data) - K + 1
     span = AROUND + 1
     if n < span:
         return np.zeros(0, np.int64)
-    key = _grams(data)
+    key = _grams(data) if key is None else key
     m, width = key, 1
     while 2 * width <= span:
         m = np.minimum(m[: len(m) - width], m[width:])
@@ -85,7 +85,8 @@ def _seeds(batches):
     for batch in batches:
         ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, j, data, offs in slices(batch.column(2)):
-            at = anchors(data, offs)
+            key = _grams(data) if len(data) >= MATCH else None
+            at = anchors(data, offs, key)
             if not len(at):
                 continue
             row = np.searchsorted(offs, at, "right") - 1
@@ -98,7 +99,7 @@ def _seeds(batches):
             after = np.where(end - at >= K + SIDE, of(at, np.minimum(at + K + SIDE, len(data))) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
             before = np.where(pos >= SIDE, of(np.maximum(at - SIDE, 0), at) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
             more = after << np.uint64(48) | before << np.uint64(32) | versions[i:j][row].view(np.uint32).astype(np.uint64)
-            cols = _grams(data)[at] >> np.uint64(16), ids[i:j][row], pos << 6 | end - at, of(start, end), more
+            cols = key[at] >> np.uint64(16), ids[i:j][row], pos << 6 | end - at, of(start, end), more
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["anchor", "doc_id", "place", "form", "more"])
 
 

@@ -8,7 +8,8 @@ the input. The list becomes one ordered CASE expression.
 
 Defined results: a null or blank text has no words and fails the base rule;
 repeated labels of a doc_id count once (lowest quality); labels that are null or
-belong to no document are unused; without usable labels the list is empty and
+belong to no document are unused; rows with a null or a repeated doc_id are judged
+each by its own text; without usable labels the list is empty and
 only the base rule decides; further columns of documents pass through untouched.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import save
+from corpusguard.llm.common import row_ids, save
 
 _BREAK = r"[\x20\x09-\x0D]+"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -61,12 +62,14 @@ def measures(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
     """Word, symbol, line and repetition counts of whole texts, and the features of the lists."""
     d = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.array_remove(F.split("_t", _BREAK), ""))
-    d = d.withColumn("n_words", F.size("_w").cast("long")).withColumn("_bits", F.expr("greatest(21, length(bin(n_words)))"))
-    hashed = "transform(sequence(0, n_words - 3), i -> shiftleft(xxhash64(get(_w, int(i)), get(_w, int(i + 1)), get(_w, int(i + 2))), _bits) | i)"
+    d = d.withColumn("n_words", F.size("_w").cast("long"))
+    hashed = "transform(sequence(0, n_words - 3), i -> named_struct('h', xxhash64(get(_w, int(i)), get(_w, int(i + 1)), get(_w, int(i + 2))), 'i', int(i)))"
     d = d.withColumn("_s", F.expr(f"CASE WHEN n_words >= 3 THEN sort_array({hashed}) ELSE array() END"))
-    same = "shiftrightunsigned(get(_s, j), _bits) = shiftrightunsigned(get(_s, j + 1), _bits)"
+    # Equal hashes are confirmed on the words.
+    alike = " AND ".join(f"get(_w, get(_s, j).i + {k}) = get(_w, get(_s, j + 1).i + {k})" for k in range(3))
+    same = f"get(_s, j).h = get(_s, j + 1).h AND {alike}"
     d = d.withColumn("_p", F.expr(f"CASE WHEN size(_s) >= 2 THEN transform(sequence(0, size(_s) - 2), j -> {same}) ELSE array(false) END"))
-    d = d.withColumn("_d", F.expr("CASE WHEN array_contains(_p, true) THEN sort_array(filter(transform(_s, (x, j) -> CASE WHEN get(_p, j) OR get(_p, j - 1) THEN x & (shiftleft(1L, _bits) - 1) END), x -> x IS NOT NULL)) ELSE array() END"))
+    d = d.withColumn("_d", F.expr("CASE WHEN array_contains(_p, true) THEN sort_array(filter(transform(_s, (x, j) -> CASE WHEN get(_p, j) OR get(_p, j - 1) THEN x.i END), x -> x IS NOT NULL)) ELSE array() END"))
     d = d.withColumn("_n", F.expr("slice(_d, 2, greatest(size(_d), 1))"))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
     d = d.withColumn("_l", lines)
@@ -76,7 +79,7 @@ def measures(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
         F.length(F.translate("_t", _SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(zip_with(_d, _n, (a, b) -> least(3L, coalesce(b - a, 3L))), 0L, (s, x) -> s + x)").alias("n_repeat_words"),
+        F.expr("aggregate(zip_with(_d, _n, (a, b) -> least(3L, coalesce(bigint(b - a), 3L))), 0L, (s, x) -> s + x)").alias("n_repeat_words"),
         F.size("_l").alias("_lines"),
         (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("_upper"),
     )
@@ -176,8 +179,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The rows of docs that are kept, each judged by its own text, whatever its doc_id."""
+    rows = row_ids(docs)
+    kept = quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), ("doc_id", "_cg_row")).where("kept").select("_cg_row")
+    return rows.join(kept, "_cg_row", "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op7_decision_lists": op7}
