@@ -284,21 +284,34 @@ def test_licences(docs, empty, spark):
 
 
 def test_sharding(docs, empty, tmp_path):
-    store = sharding.Store(docs.sparkSession, f"file://{tmp_path}/s")
+    store = sharding.Store(docs.sparkSession, f"file://{tmp_path}/s", 16000)
     store.append(docs, 2000)
-    store.append(docs, 2000)
-    before = store.manifest().count()
+    store.append(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), 2000)
+    before, n = store.manifest().count(), 2 * docs.count() + 1
     assert store.compact() == 3 and store.manifest().count() < before
     back = store.read()
-    assert back.count() == 2 * docs.count() and back.where("text is null").count() == 2
-    assert set(docs.columns) <= set(back.columns)
-    store.vacuum()
-    assert store.read().count() == 2 * docs.count()
+    assert back.count() == n and back.where("text is null").count() == 2 and set(docs.columns) <= set(back.columns)
+    assert store.read(2).count() == n and store.read(1).count() == docs.count()
     with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), 3)
+        sharding.Store(docs.sparkSession, f"file://{tmp_path}/s")._commit(store.manifest(), 3)
+    store.vacuum(keep=1, retention_s=0)
+    assert store.read().count() == n and store.compact() == 3
     assert sharding.shard(empty).count() == 0
 
 
+def test_size_tiers(spark):
+    """Uneven runs reach the target, equal small ones cascade, full ones are left alone."""
+    sizes = [10] * 20 + [3] + [70] + [500]
+    manifest = spark.createDataFrame([(f"s{k}", 0, k, k, 1, b, "") for k, b in enumerate(sizes)], sharding._MANIFEST)
+    got = {r._cg_first: r._cg_to for r in sharding.merge_plan(manifest, 160).collect()}
+    shards = {}
+    for k, b in enumerate(sizes):
+        shards[got.get(k, k)] = shards.get(got.get(k, k), 0) + b
+    assert 22 not in got and shards[22] == 500
+    tiers = Counter(0 if b < 40 else 1 for b in shards.values() if b < 160)
+    assert max(tiers.values(), default=0) < sharding.FANOUT and sum(shards.values()) == sum(sizes) and max(b for k, b in shards.items() if k != 22) >= 160
+
+
 @pytest.mark.parametrize("module", [mixing, sharding, licenses])
 def test_oracles(spark, module):
     folder = "/root/testdata/sf0.001"
