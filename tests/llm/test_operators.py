@@ -277,9 +277,27 @@ def test_decontamination_of_shorter_and_longer_passages(spark):
 
 def test_licences(docs, empty, spark):
     assert [(r.doc_id, r.license, r.n_matches) for r in licenses.scan(docs).collect()] == [(14, "MIT", 1)]
-    wrapped = "Intro.\n" + licenses.SENTENCES[16].replace(" under", "\nunder").capitalize() + ". Released under the MIT License. Released under the MIT License."
-    got = {(r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).collect()}
-    assert got == {("GPL-3.0-or-later", 1), ("MIT", 2)}
+    for x in licenses.SENTENCES.values():
+        assert re.search(licenses._ANCHOR, x) and re.search(licenses._WORDS, x)
+    s = licenses.SENTENCES
+    say = lambda *ids: ".\n".join(s[i].capitalize() for i in ids) + "."
+    lines = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)
+    texts = {
+        "MIT": "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + lines(s[10] + ":\n\n") + lines(say(11, 12, 13)),
+        "Apache-2.0": "Copyright 2020 Foo\n\n" + lines(s[14]) + ".\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + lines(say(16, 17)),
+        "GPL-3.0-or-later": "Foo, a program.\nCopyright (C) 2020 Foo\n\n" + lines(s[18]) + ".\n\n" + lines(s[24].capitalize()) + ".  See the\nGNU General Public License for more details.\n",
+        "BSD-3-Clause": "Copyright (c) 2020, Foo\nAll rights reserved.\n\n" + lines(s[29]) + ":\n\n1. " + lines(s[30]) + ".\n\n2. " + lines(s[31]) + ".\n\n3. " + lines(s[32]) + ".\n\n" + lines(s[33]) + ".",
+        "ISC": "Copyright (c) 2020 Foo\n\n" + lines(say(34)) + "\n\n" + lines(say(35)),
+        "LGPL-2.1-or-later": lines(say(22, 25, 28)), "AGPL-3.0-or-later": lines(say(20, 24, 27)), "Unlicense": lines(say(37, 38)), "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "LicenseRef-all-rights-reserved": "Some text.\nAll rights reserved.",
+    }
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {name: name in got.get(k, ()) for k, name in enumerate(texts)} == dict.fromkeys(texts, True)
+    assert got[0] == {"MIT"} and got[2] == {"GPL-3.0-or-later"}
+    both = "Released under the MIT License. Released under the MIT License.\n" + lines(s[18]) + "."
+    assert {(r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame([(None, both)], "doc_id long, text string")).collect()} == {("GPL-3.0-or-later", 1), ("MIT", 2)}
     assert licenses.scan(empty).count() == 0
 
 
