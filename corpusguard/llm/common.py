@@ -8,6 +8,7 @@ longest document, never the partition. A null text counts as empty everywhere.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -154,12 +155,19 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{root(spark)}/corpusguard/{name}-{uuid.uuid4().hex}"
     with shuffle_cleanup(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

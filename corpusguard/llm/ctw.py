@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import _LOWER, _WS, blocks, save, slices, words
+from corpusguard.llm.common import _LOWER, _WS, blocks, release, save, slices, words
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
@@ -111,6 +111,8 @@ def _count(table):
     for kind, found in parts.items():
         key, n = found.result()
         out.append(pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), "block": pa.array(np.full(len(key), block, np.int32)), "n": n}))
+    del parts, found, key, n
+    release()
     return pa.concat_tables(out)
 
 
@@ -172,6 +174,8 @@ def _score(total_words: int, distinct_words: int):
             for out, x in zip(got, (np.diff(o), np.add.reduceat((count[at] > 0).astype(np.int64), o[:-1]), np.add.reduceat(cost[at], o[:-1]), np.add.reduceat(logs[find(k)], ko[:-1]), np.diff(co)), strict=True):
                 out.append(x)
         n, known, base, score, size = (np.concatenate(x) for x in got)
+        del find, logs, word, count, cost, own, seen, at, c, co, k, ko, h, o, data, offs
+        release()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n, "n_known": known, "base_score": base, "score": score, "n_bytes": size})
 
     return run
