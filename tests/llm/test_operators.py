@@ -149,18 +149,88 @@ def test_chaining(docs, rows, empty):
 
 
 def test_chain_against_brute_force():
-    r = random.Random(2)
-    for _ in range(20):
-        pts = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(14)})
+    r, k, gap = random.Random(2), chaining.SEED, chaining.GAP
+    for _ in range(40):
+        pts = sorted(zip(r.sample(range(90), 14), r.sample(range(90), 14), strict=True))
         x, y = np.array(pts).T
-        for links in chaining.chain(x, y):
+        chains = chaining.chain(x, y)
+        assert sorted(np.concatenate(chains).tolist()) == list(range(14))
+        for links in chains:
             assert (np.diff(x[links]) > 0).all() and (np.diff(y[links]) > 0).all()
-        best = [0.0] * len(pts)
-        for j, (a, b) in enumerate(pts):
-            ends = [(best[i] - 0.1 * (a - c + b - d), min(6, a - c, b - d)) for i, (c, d) in enumerate(pts) if c < a and d < b]
-            s = max(ends, default=(0, 0))
-            best[j] = s[0] + s[1] + 0.6 if s[0] > 0 else 6.0
-        assert max(best) >= 6
+        # Of equally good places to come from, any may be taken: the least and the most that gives.
+        bounds = []
+        for choose in (min, max):
+            best: list[float] = []
+            for j, (a, b) in enumerate(pts):
+                before = [(round(best[i] - gap * (a - c + b - d), 9), min(k, a - c, b - d)) for i, (c, d) in enumerate(pts[:j]) if c < a and d < b]
+                value = max((v for v, _ in before), default=0)
+                best.append(max(k, value + choose((g for v, g in before if v == value), default=0) * (1 + 2 * gap)))
+            bounds.append(max(best))
+        steps = np.minimum(k, np.minimum(np.diff(x[chains[0]]), np.diff(y[chains[0]]))) * (1 + 2 * gap) - gap * (np.diff(x[chains[0]]) + np.diff(y[chains[0]]))
+        assert bounds[0] - 1e-6 <= k + steps.sum() <= bounds[1] + 1e-6
+
+
+def test_chaining_recall(spark):
+    """Passages of 60 words with up to a quarter of edits, a passage whose pieces others hold, a large class of near copies."""
+    r = random.Random(1)
+    text = lambda n: [f"w{r.randrange(20000)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for rate in (0, 0.1, 0.2, 0.25):
+        for mode in ("replaced", "mixed"):
+            for _ in range(12):
+                p = text(60)
+                q = [[w] for w in p]
+                for k in r.sample(range(60), int(rate * 60)):
+                    new = f"z{r.random()}"
+                    q[k] = [new] if mode == "replaced" else r.choice([[], [p[k], new], [new]])
+                i = len(rows)
+                rows += [(i, " ".join(text(80) + p + text(80))), (i + 1, " ".join(text(100) + sum(q, []) + text(60)))]
+                wanted.setdefault(rate, []).append((i + 1, i))
+    pieces = [text(45) for _ in range(3)]
+    both = sum(pieces, [])[:100]
+    i = len(rows)
+    rows += [(i, " ".join(text(50) + both + text(50))), (i + 1, " ".join(text(70) + both + text(50)))]
+    for p in pieces:
+        rows += [(s * (10000 + len(rows) + k), " ".join(text(50) + p + text(50))) for s in (-1, 1) for k in range(12)]
+    hot, first = text(120), len(rows) + 50000
+    rows += [(first + k, " ".join(text(30) + [f"y{r.random()}" if r.random() < 0.08 else w for w in hot] + text(30))) for k in range(60)]
+    got = {(x.doc_id, x.ref_id) for x in chaining.passages(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()}
+    for rate, pairs in wanted.items():
+        assert sum(p in got for p in pairs) >= 0.9 * len(pairs), rate
+    assert (i + 1, i) in got
+    group = {k: k for k in range(first, first + 60)}
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a, b in got:
+        if a >= first and b >= first:
+            group[find(a)] = find(b)
+    assert len({find(k) for k in group}) == 1
+    assert not [p for p in got if p[0] < first and p not in sum(wanted.values(), [(i + 1, i)])]
+
+
+def test_repeated_and_null_ids(spark):
+    """Versions of one doc_id and rows without one, in the operators that name rows by doc_id."""
+    r = random.Random(4)
+    text = lambda n: " ".join(f"v{r.randrange(500)}" for _ in range(n))
+    a, b = text(120), text(120)
+    rows = [(1, a), (2, b), (2, a), (2, a), (None, b), (None, text(60)), (3, text(80) + " " + b)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    by = {}
+    for x in rindex.dedup(docs).collect():
+        by.setdefault(x.doc_id, []).append((x.n_removed, x.n_bytes))
+    assert by[1] == [(0, len(a))] and sorted(by[2]) == sorted([(0, len(b)), (len(a), len(a)), (len(a), len(a))])
+    assert by[3][0][0] >= len(b) and None not in by
+    plan = mixing.plan(docs).collect()
+    assert len(plan) == 7 and abs(sum(x.taken for x in plan) - plan[0].target) <= 1
+    assert mixing.stage(spark, docs, "").count() == 7
+    scored = ctw.code_lengths(docs, held(10)).collect()
+    assert len(scored) == 7 and all(x.score < 0 for x in scored)
+    bench = spark.createDataFrame([(1, " ".join(b.split()[10:50]))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.leaks(docs, bench).collect()} == {2, 3}
 
 
 def test_context_tree(docs, rows, empty):
