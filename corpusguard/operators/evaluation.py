@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of lines that the web variant hides.
-REDACT = ("ignore", "instruction", "refuse", "always", "never", "system", "override", "must", "policy")
+REDACT = ("ignore", "forget", "pretend", "override", "무시", "잊어", "지금부터", "이제부터", "대신")
 
 
 def ratio(a: Column, b: Column) -> Column:

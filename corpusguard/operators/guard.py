@@ -36,7 +36,7 @@ def query_risk(queries: DataFrame) -> DataFrame:
     return run(query_steps(SPARK, "query_in"), "SELECT * FROM query_scored", query_in=q)
 
 
-#: Tokens of a path that name a department, and the level of a department's files.
+#: Own, simplified values: tokens of a path that name a department, and the level of a department's files.
 DEPTS = (("security", ("security", "보안")), ("it", ("it_", "전산")), ("hr", ("hr", "인사")), ("finance", ("finance", "재무")))
 DEPT_LEVELS = {"security": "restricted", "it": "internal", "hr": "confidential", "finance": "confidential", "general": "public"}
 PRIVILEGED_ROLES = ("admin", "security_admin", "superuser")

@@ -247,7 +247,7 @@ def cleanse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cleanse(routed).select("doc_id", "ordinal", F.md5("clean_text").alias("clean"))
 
 
-_RED = "CASE WHEN regexp_matches(lower(x), '" + "|".join(E.REDACT) + "') THEN '[REDACTED]' ELSE x END"
+_RED = "CASE WHEN contains(lower(x), 'ignore') OR contains(lower(x), 'forget') OR contains(lower(x), 'pretend') OR contains(lower(x), 'override') OR regexp_matches(x, '무시|잊어|지금부터|이제부터|대신') THEN '[REDACTED]' ELSE x END"
 _CLEAN = chain(_routed(CHECK), f"SELECT doc_id, ordinal, md5(CASE WHEN final_level = 'medium' AND final_rules <> '' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_RED}), chr(10)) ELSE text END) AS clean FROM routed WHERE final_level IN ('low', 'medium')")
 
 
