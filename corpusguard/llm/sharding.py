@@ -124,7 +124,7 @@ class Store:
         batches = [r[0] for r in lines.select(F.regexp_extract("_cg_path", "(.*)/_cg_dir=[^/]*$", 1)).distinct().toLocalIterator()]
         out = None
         for path in batches:
-            mine = lines.where(F.col("_cg_path").startswith(f"{path}/")).select(F.regexp_extract("_cg_path", "_cg_dir=([0-9]+)$", 1).cast("long").alias("_cg_dir"), "_cg_shard", "_cg_level")
+            mine = lines.where(F.col("_cg_path").startswith(f"{path}/")).select(F.regexp_extract("_cg_path", "_cg_dir=([0-9]+)$", 1).cast("long").alias("_cg_dir"), "_cg_shard", "_cg_level", *(c for c in lines.columns if c == "_cg_to"))
             rows = self.spark.read.parquet(path).withColumn("_cg_dir", F.col("_cg_dir").cast("long")).drop("_cg_to").join(mine, "_cg_dir").drop("_cg_dir")
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
@@ -145,10 +145,7 @@ class Store:
             return v
         stay, lines = old.join(grow.select("_cg_first"), "_cg_first", "left_anti"), old.join(grow, "_cg_first")
         rows = self._rows(lines).drop("_cg_shard", "_cg_level")
-        # The runs of a shard are told by their arrivals, each in one run.
-        starts = lines.select(F.col("_cg_first").alias("_s"), F.col("_cg_last").alias("_e"), "_cg_to")
-        arrival = starts.select(F.explode(F.sequence("_s", "_e")).alias("_cg_arrival"), "_cg_to")
-        self._commit(stay.unionByName(self._write(rows.join(arrival, "_cg_arrival"))), v + 1)
+        self._commit(stay.unionByName(self._write(rows)), v + 1)
         return v + 1
 
     def read(self, version: int | None = None) -> DataFrame | None:
