@@ -90,8 +90,15 @@ class Tally:
             self._join()
 
     def _join(self) -> None:
-        (a, m), (b, n) = self.parts.pop(), self.parts.pop()
-        self.parts.append(_tally(np.concatenate([a, b]), np.concatenate([m, n])))
+        (b, n), (a, m) = self.parts.pop(), self.parts.pop()
+        if len(a) < len(b):
+            a, m, b, n = b, n, a, m
+        # The keys of both are sorted, so the fewer ones go into their places among the others.
+        at = np.searchsorted(a, b)
+        held = a[np.minimum(at, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
+        m[at[held]] += n[held]
+        at = at[~held]
+        self.parts.append((np.insert(a, at, b[~held]), np.insert(m, at, n[~held])))
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         while len(self.parts) > 1:
@@ -240,7 +247,7 @@ def code_lengths(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> D
     seen = seen.withColumns({"total": F.sum("n").over(by_key), "first": F.row_number().over(by_key.orderBy("block")) == 1})
     facts = Observation()
     seen = seen.observe(facts, F.coalesce(F.sum(F.when(F.col("kind") == _WORD, F.col("n"))), F.lit(0)).alias("words"), F.count_if((F.col("kind") == _WORD) & F.col("first") & (F.col("total") > 0)).alias("distinct"))
-    seen = save(seen.where((F.col("kind") == _GRAM) | (F.col("n") != F.col("total"))), "seen")
+    seen = save(seen.where((F.col("kind") == _GRAM) | (F.col("n") != F.col("total"))).drop("n"), "seen")
     model = tree(save(seen.where((F.col("kind") == _GRAM) & F.col("first")).select("key", "total"), "grams"))
     grams_back = seen.where(F.col("kind") == _GRAM).select("block", "kind", "key", "total").hint("merge").join(model, "key")
     words_back = seen.where(F.col("kind") == _WORD).select("block", "kind", "key", "total", F.lit(0.0).alias("log10p"))
