@@ -27,7 +27,7 @@ def query_steps(d: Dialect, source: str) -> Steps:
     return [
         *feature_steps(d, source), *score_steps(d, with_stats=False),
         ("q_counts", f"SELECT *, {counted} FROM scored"),
-        ("query_scored", f"SELECT *, {r4(clamp(f'0.18E0 * instructionality_score + 0.10E0 * refusal_inducing_score + 0.30E0 * {j} + 0.24E0 * {s} + 0.18E0 * {p}'))} AS query_risk, {s} AS sensitive_score, {matched(d, 'cj', fixed.JAILBREAK_RULES)} + {matched(d, 'cs', fixed.SENSITIVE_RULES)} + {matched(d, 'cp', fixed.PRIVILEGE_RULES)} AS query_rules FROM q_counts"),
+        ("query_scored", f"SELECT *, {r4(clamp(f'0.18E0 * instructionality_score + 0.10E0 * refusal_inducing_score + 0.30E0 * {j} + 0.24E0 * {s} + 0.18E0 * {p}'))} AS query_risk, {r4(s)} AS sensitive_score, {r4(p)} AS privilege_score, {r4(clamp(f'0.8E0 * greatest({s}, {p}) + 0.2E0 * instructionality_score'))} AS detail_score, {matched(d, 'cj', fixed.JAILBREAK_RULES)} + {matched(d, 'cs', fixed.SENSITIVE_RULES)} + {matched(d, 'cp', fixed.PRIVILEGE_RULES)} AS query_rules FROM q_counts"),
     ]
 
 
@@ -36,25 +36,45 @@ def query_risk(queries: DataFrame) -> DataFrame:
     return run(query_steps(SPARK, "query_in"), "SELECT * FROM query_scored", query_in=q)
 
 
-#: Own, simplified values: tokens of a path that name a department, and the level of a department's files.
-DEPTS = (("security", ("security", "보안")), ("it", ("it_", "전산")), ("hr", ("hr", "인사")), ("finance", ("finance", "재무")))
-DEPT_LEVELS = {"security": "restricted", "it": "internal", "hr": "confidential", "finance": "confidential", "general": "public"}
-PRIVILEGED_ROLES = ("admin", "security_admin", "superuser")
+#: Names of levels, marks of departments (in a file's name, in its path), roles and ranks that may see more.
+LEVEL_NAMES = {"public": ("public", "open"), "internal": ("internal", "inhouse"), "restricted": ("restricted", "sensitive"), "confidential": ("confidential", "secret")}
+DEPT_MARKS = (("security", ("sec-",), ("보안",)), ("it", ("it-", "vpn"), ("원격접속",)), ("hr", ("hr-",), ("인사",)), ("finance", ("fin-",), ("경비", "급여")))
+DEPT_LEVELS = {"security": "restricted", "it": "internal", "hr": "internal", "finance": "internal"}
+PRIVILEGED_ROLES = ("admin", "security_admin", "system", "it_admin", "security", "owner")
+PRIVILEGED_RANKS = ("director", "head", "executive", "manager")
 
 
-def policy_sql(d: Dialect, path: str, dept: str | None = None, level: str | None = None) -> tuple[str, str]:
-    """owner_dept and security_level of a chunk from its columns or its path."""
-    has = lambda w: f"(instr(lower({path}), '{w}') > 0)"
-    found = "CASE " + " ".join(f"WHEN {' OR '.join(map(has, ws))} THEN '{k}'" for k, ws in DEPTS) + " ELSE 'general' END"
-    owner = f"coalesce({dept}, {found})" if dept else found
-    by = "CASE " + owner + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DEPT_LEVELS.items()) + " ELSE 'public' END"
-    return owner, f"coalesce({level}, {by})" if level else by
+def _among(e: str, values: tuple[str, ...]) -> str:
+    return f"({e} IN ({', '.join(f"'{v}'" for v in values)}))" if values else "false"
 
 
-def rbac_sql(owner: str, level: str, role: str, dept: str) -> str:
-    """Severity of showing a chunk to a user: 0 for who may see it."""
-    roles = ", ".join(f"'{r}'" for r in PRIVILEGED_ROLES)
-    return f"CASE WHEN {level} = 'public' OR {role} IN ({roles}) OR {dept} = {owner} THEN 0.0E0 WHEN {level} = 'confidential' THEN 0.72E0 WHEN {level} = 'restricted' THEN 0.46E0 ELSE 0.42E0 END"
+def policy_sql(path: str, dept: str = "''", level: str = "''") -> tuple[str, str]:
+    """owner_dept and security_level of a chunk: as its columns say, else by its path; null counts as empty.
+
+    The level's SQL reads the column owner_dept.
+    """
+    low = f"lower(coalesce({path}, ''))"
+    name, own, said = f"regexp_replace({low}, '^.*/', '')", f"lower(trim(coalesce({dept}, '')))", f"lower(trim(coalesce({level}, '')))"
+    found = " ".join(f"WHEN {' OR '.join([*(f"instr({name}, '{w}') > 0" for w in names), *(f"instr({low}, '{w}') > 0" for w in paths)])} THEN '{k}'" for k, names, paths in DEPT_MARKS)
+    known = " ".join(f"WHEN {_among(said, names)} THEN '{k}'" for k, names in LEVEL_NAMES.items())
+    by = "CASE owner_dept " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DEPT_LEVELS.items()) + " ELSE 'public' END"
+    return f"CASE WHEN {own} <> '' THEN {own} {found} ELSE 'general' END", f"CASE {known} WHEN {said} IN ('', 'unknown') THEN {by} ELSE {said} END"
+
+
+def rbac_sql(role: str, dept: str, rank: str = "''", levels: tuple[str, ...] = (), depts: tuple[str, ...] = ()) -> str:
+    """Severity of showing a chunk to a user who asks a query; 0 for who may see it, and where the query asks for nothing special.
+
+    Reads owner_dept, security_level, sensitive_score, privilege_score, detail_score; levels and depts are open to all.
+    """
+    role, dept, rank = (f"lower(coalesce({x}, ''))" for x in (role, dept, rank))
+    free = [
+        _among(role, PRIVILEGED_ROLES), "security_level = 'public'", f"(security_level IN ('internal', 'restricted', 'confidential') AND {dept} <> '' AND {dept} = owner_dept)",
+        f"({_among(rank, PRIVILEGED_RANKS)} AND owner_dept IN ({dept}, 'general'))", _among("security_level", levels), _among("owner_dept", depts),
+    ]
+    detailed = "greatest(privilege_score, detail_score) >= 0.16E0"
+    by_level = f"CASE WHEN security_level IN ('restricted', 'confidential') AND greatest(sensitive_score, privilege_score) >= 0.18E0 THEN 0.72E0 WHEN security_level = 'internal' AND {detailed} THEN 0.46E0 ELSE 0.0E0 END"
+    across = f"CASE WHEN {dept} <> '' AND owner_dept NOT IN ('general', {dept}) AND {detailed} THEN 0.42E0 ELSE 0.0E0 END"
+    return f"CASE WHEN {' OR '.join(free)} THEN 0.0E0 ELSE greatest({by_level}, {across}) END"
 
 
 def decision_steps(source: str) -> Steps:

@@ -171,18 +171,37 @@ def _query_risk(d: Dialect) -> Steps:
     return _turns(d) + G.query_steps(d, "turns")
 
 
+#: Paths and levels as files may have them, some unlike what their folder says.
+_FILED = "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'files/SEC-01.txt' WHEN 1 THEN 'files/it-02.txt' WHEN 2 THEN '원격접속/guide.txt' WHEN 3 THEN 'hr-/list.txt' WHEN 4 THEN 'files/fin-05.txt' WHEN 5 THEN '급여/table.txt' WHEN 6 THEN 'files/my-vpn.txt' ELSE source END AS path, CASE doc_id % 7 WHEN 0 THEN 'Secret' WHEN 1 THEN 'inhouse ' WHEN 2 THEN 'open' WHEN 3 THEN 'sensitive' WHEN 4 THEN 'unknown' END AS said, CASE WHEN doc_id % 11 = 0 THEN 'HR' END AS dept, doc_id % 10 / 10.0E0 AS context_risk FROM documents"
+_ASKED = "conv_id, turn, doc_id, query_risk, CASE WHEN query_risk > 0 THEN greatest(query_risk, 0.5E0 * context_risk) ELSE 0.2E0 * context_risk END AS interaction_risk, context_risk, turn % 2 AS attempts, doc_id % 3 AS hotspots"
+_ROLE, _RANK = "CASE conv_id % 13 WHEN 0 THEN 'IT_admin' ELSE 'staff' END", "CASE conv_id % 5 WHEN 0 THEN 'Manager' END"
+
+
 def _decided(d: Dialect) -> Steps:
-    owner, level = G.policy_sql(d, "source")
-    docs = [("doc_policy", f"SELECT doc_id, {owner} AS owner_dept, CASE doc_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'confidential' WHEN 2 THEN 'restricted' ELSE {level} END AS security_level, doc_id % 10 / 10.0E0 AS context_risk FROM documents")]
-    rows = f"SELECT conv_id, turn, doc_id, query_risk, CASE WHEN query_risk > 0 THEN greatest(query_risk, 0.5E0 * context_risk) ELSE 0.2E0 * context_risk END AS interaction_risk, context_risk, {G.rbac_sql('owner_dept', 'security_level', d.text('staff'), d.text('it'))} AS rbac_risk, turn % 2 AS attempts, doc_id % 3 AS hotspots FROM query_scored JOIN doc_policy ON doc_id = conv_id"
+    owner, level = G.policy_sql("path", "dept", "said")
+    docs = [("doc_files", _FILED), ("doc_owners", f"SELECT *, {owner} AS owner_dept FROM doc_files"), ("doc_policy", f"SELECT *, {level} AS security_level FROM doc_owners")]
+    rows = f"SELECT {_ASKED}, {G.rbac_sql(_ROLE, "'it'", _RANK)} AS rbac_risk FROM query_scored JOIN doc_policy ON doc_id = conv_id"
     return _query_risk(d) + docs + [("guard_rows", rows)] + G.decision_steps("guard_rows")
 
 
-def _steps(steps, last: str, *tables: str):
+def _decided_check(d: Dialect) -> Steps:
+    """The access rules written apart from the operator's: a table of marks, and rows of severities of which the worst counts."""
+    docs = [
+        ("doc_files", _FILED),
+        ("marks", "SELECT * FROM (VALUES (1, 'security', 'sec-', true), (2, 'security', '보안', false), (3, 'it', 'it-', true), (4, 'it', 'vpn', true), (5, 'it', '원격접속', false), (6, 'hr', 'hr-', true), (7, 'hr', '인사', false), (8, 'finance', 'fin-', true), (9, 'finance', '경비', false), (10, 'finance', '급여', false)) t(n, owner, mark, in_name)"),
+        ("doc_owners", "SELECT f.*, coalesce(lower(dept), (SELECT arg_min(owner, n) FROM marks WHERE contains(CASE WHEN in_name THEN string_split(lower(path), '/')[-1] ELSE lower(path) END, mark)), 'general') AS owner FROM doc_files f"),
+        ("doc_policy", "SELECT *, CASE doc_id % 7 WHEN 0 THEN 'confidential' WHEN 1 THEN 'internal' WHEN 2 THEN 'public' WHEN 3 THEN 'restricted' ELSE CASE owner WHEN 'security' THEN 'restricted' WHEN 'general' THEN 'public' ELSE 'internal' END END AS lvl FROM doc_owners"),
+        ("asked", f"SELECT {_ASKED}, owner, lvl, sensitive_score AS s, privilege_score AS p, detail_score AS x FROM query_scored JOIN doc_policy ON doc_id = conv_id WHERE true"),
+        ("worst", "SELECT *, CASE WHEN conv_id % 13 = 0 OR lvl = 'public' OR owner = 'it' OR (conv_id % 5 = 0 AND owner = 'general') THEN 0.0E0 ELSE list_max([0.0E0, CASE WHEN (lvl = 'restricted' OR lvl = 'confidential') AND (s >= 0.18E0 OR p >= 0.18E0) THEN 0.72E0 END, CASE WHEN lvl = 'internal' AND (p >= 0.16E0 OR x >= 0.16E0) THEN 0.46E0 END, CASE WHEN owner <> 'general' AND (p >= 0.16E0 OR x >= 0.16E0) THEN 0.42E0 END]) END AS rbac_risk FROM asked"),
+    ]
+    return _query_risk(d) + docs + G.decision_steps("worst")
+
+
+def _steps(steps, last: str, *tables: str, check=None):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run(steps(SPARK), last, **{t: _table(spark, sf_dir, t) for t in tables})
 
-    return q, chain(steps(CHECK), last)
+    return q, chain((check or steps)(CHECK), last)
 
 
 def session_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +293,7 @@ QUERIES: dict = {
     "near_dup_pairs": (near_dup_pairs, _NEAR),
     "greedy_dedupe": (greedy_dedupe, None),
     "query_risk": _steps(_query_risk, "SELECT conv_id, turn, query_risk, CAST(query_rules AS BIGINT) AS query_rules FROM query_scored", "conversations"),
-    "rbac_and_decision": _steps(_decided, "SELECT conv_id, turn, rbac_risk, risk, runtime_level, runtime_action FROM decided", "conversations", "documents"),
+    "rbac_and_decision": _steps(_decided, "SELECT conv_id, turn, rbac_risk, risk, runtime_level, runtime_action FROM decided", "conversations", "documents", check=_decided_check),
     "requery_exclusions": (requery_exclusions, _REQUERY),
     "remove_chunks": (remove_chunks, _REMOVE),
     "refusal_classify": (refusal_classify, _REFUSED + " SELECT conv_id, turn, kind FROM k"),

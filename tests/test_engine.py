@@ -113,6 +113,35 @@ def test_clause_sections(spark):
     assert spark.createDataFrame([(t,)], "text string").select(chunking.clause_sections(F.col("text"))).first()[0] == ["제1조 (목적) 이 규정\n내용", "제2조 (정의) 뜻"]
 
 
+def test_access_of_a_chunk(spark):
+    # path, dept, level, then the owner, the level and the severity for staff of it who ask with signals 0.2, 0.1, 0.16
+    cases = [
+        ("a/SEC-1.txt", None, None, "security", "restricted", 0.72),
+        ("a/b/보안/x.txt", "", "", "security", "restricted", 0.72),
+        ("sec-/x.txt", None, None, "general", "public", 0.0),
+        ("a/vpn.txt", None, None, "it", "internal", 0.0),
+        ("a/hr-2.txt", None, "unknown", "hr", "internal", 0.46),
+        ("급여/x.txt", None, "Secret ", "finance", "confidential", 0.72),
+        ("a/x.txt", None, "inhouse", "general", "internal", 0.46),
+        ("a/x.txt", " Legal", "open", "legal", "public", 0.0),
+        ("a/x.txt", "legal", "level 9", "legal", "level 9", 0.42),
+        (None, None, None, "general", "public", 0.0),
+    ]
+    owner, level = guard.policy_sql("path", "dept", "said")
+    rows = spark.createDataFrame([c[:3] for c in cases], "path string, dept string, said string").withColumn("owner_dept", F.expr(owner)).withColumn("security_level", F.expr(level))
+    signals = {"sensitive_score": 0.2, "privilege_score": 0.1, "detail_score": 0.16}
+    for name, value in signals.items():
+        rows = rows.withColumn(name, F.lit(value))
+    shown = {"staff": guard.rbac_sql("'Staff'", "'IT'"), "admin": guard.rbac_sql("'System'", "'hr'"), "head": guard.rbac_sql("'staff'", "'it'", "'Head'"), "open": guard.rbac_sql("null", "null", levels=("restricted",), depts=("hr",))}
+    got = [tuple(r) for r in rows.select("owner_dept", "security_level", *(F.expr(v).alias(k) for k, v in shown.items())).collect()]
+    assert [r[:3] for r in got] == [c[3:] for c in cases]
+    assert {r[3] for r in got} == {0.0}
+    assert [r[4] for r in got] == [0.0 if c[3] == "general" else c[5] for c in cases]
+    assert [r[5] for r in got] == [0.0, 0.0, 0.0, 0.46, 0.0, 0.72, 0.46, 0.0, 0.0, 0.0]
+    quiet = rows.withColumns({k: F.lit(0.15) for k in signals}).select(F.expr(shown["staff"]).alias("s")).distinct().collect()
+    assert [r.s for r in quiet] == [0.0]
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
