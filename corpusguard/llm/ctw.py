@@ -159,7 +159,7 @@ def _score(total_words: int, distinct_words: int):
         if not texts.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "n_bytes": pa.array([], pa.int64())})
         kind, key = model.column("kind").to_numpy(), model.column("key").to_numpy().view(np.uint64)
-        value, total = model.column("log10p").to_numpy(), model.column("total").to_numpy()
+        value = model.column("value").to_numpy()
         is_gram = kind == _GRAM
         find, logs = Lookup(key[is_gram]), np.append(value[is_gram], np.nan)
         train = ~texts.column("held_out").to_numpy()
@@ -170,7 +170,7 @@ def _score(total_words: int, distinct_words: int):
             seen.add(h, np.repeat(train[i:j], np.diff(o)))
         own, count = seen.result()
         word = Lookup(own)
-        count[word(key[~is_gram])] = total[~is_gram]
+        count[word(key[~is_gram])] = value[~is_gram].astype(np.int64)
         cost = np.log10((count + 0.1) / (total_words + 0.1 * (distinct_words + 1)))
         got: list[list[np.ndarray]] = [[], [], [], [], []]
         for _, _, data, offs in slices(texts.column("text")):
@@ -249,9 +249,10 @@ def code_lengths(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> D
     seen = seen.observe(facts, F.coalesce(F.sum(F.when(F.col("kind") == _WORD, F.col("n"))), F.lit(0)).alias("words"), F.count_if((F.col("kind") == _WORD) & F.col("first") & (F.col("total") > 0)).alias("distinct"))
     seen = save(seen.where((F.col("kind") == _GRAM) | (F.col("n") != F.col("total"))).drop("n"), "seen")
     model = tree(save(seen.where((F.col("kind") == _GRAM) & F.col("first")).select("key", "total"), "grams"))
-    grams_back = seen.where(F.col("kind") == _GRAM).select("block", "kind", "key", "total").hint("merge").join(model, "key")
-    words_back = seen.where(F.col("kind") == _WORD).select("block", "kind", "key", "total", F.lit(0.0).alias("log10p"))
-    back = grams_back.select(*words_back.columns).union(words_back)
+    # One value a row: an n-gram's log probability, a word's count.
+    grams_back = seen.where(F.col("kind") == _GRAM).select("block", "key").hint("merge").join(model, "key")
+    words_back = seen.where(F.col("kind") == _WORD).select("block", "kind", "key", F.col("total").cast("double").alias("value"))
+    back = grams_back.select("block", F.lit(_GRAM).alias("kind"), "key", F.col("log10p").alias("value")).union(words_back)
     known = facts.get
     out = d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(known["words"], known["distinct"]), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.withColumn("train_tokens", F.lit(known["words"]).cast("long")).withColumn("bits_per_byte", -F.col("score") * 3.321928094887362 / (F.col("n_bytes") + 1))
