@@ -325,3 +325,54 @@ DOCUMENT_SUFFIXES = (
     '공고문',
     '운영규정',
 )
+
+# Patterns of answers that refuse, that still answer in part, that miss something in their context; routes that withhold an answer.
+REFUSAL_PATTERNS = (
+    r"현재 검색 문맥은 안전하지 않아",
+    r"답변을 보류합니다",
+    r"runtime guard blocked",
+    r"I('m| am) (sorry|unable|not able)",
+    r"I cannot (help|assist|provide|fulfill|answer|engage|support|do that|comply)",
+    r"I('m| am) not able to (help|assist|provide|answer)",
+    r"I (must|have to|need to) (decline|refuse|refrain)",
+    r"I (will|won't|can't|cannot) (help|assist) (with|you) (that|this|those)",
+    r"I('m| am) designed (to|not to)",
+    r"(This|That|Your) (request|question|prompt) (is|involves|contains|asks)",
+    r"against (my|our) (guidelines|policies|values|terms|programming|design)",
+    r"(violates?|goes against) (my|our|the) (guidelines?|policies?|values?|terms?|programming|safety)",
+    r"not (something|a topic) I('m| am) able to",
+    r"(harmful|dangerous|illegal|unethical|inappropriate) (content|request|activity|action|behavior|information)",
+    r"provide (instructions?|guidance|information|details?) (on|about|for) (how to )?(harm|attack|hack|steal|forge|bypass|crack|exploit|create malware|build a bomb|commit)",
+    r"cannot (provide|share|give|offer) (information|assistance|guidance|instructions?) (that|which|on)",
+    r"help(ing)? (with|you) (something|anything) (that is |that's )?(harmful|illegal|unethical|dangerous)",
+    r"(promote|encourage|facilitate|support|enable) (harm|violence|illegal|unethical|dangerous)",
+    r"(build|make|create) (a )?(bomb|weapon|malware|virus|exploit)",
+    r"(hack|steal|forge|bypass|crack|exploit|attack)",
+    r"my (programming|design|guidelines?|purpose|function) (is|are|does not|doesn't|prevent)",
+    r"(safety|ethical) (guidelines?|constraints?|boundaries?|principles?)",
+    r"해당 (요청|질문|내용)은 (도움|답변|지원)을 드리기 어렵",
+    r"(윤리적|법적|안전)으로 (문제|위험|부적절)",
+    r"(위험|불법|유해|비윤리적)한 (활동|행위|내용|정보)",
+    r"(위험하고|불법(?:이며|한)?|위법할 수).*?(정보|내용|행위)",
+    r"(그런|이러한|요청하신)?\s*(정보|내용|방법|절차)를?\s*(제공|공유|설명|안내)할 수 없",
+    r"(해당\s*)?(정보|내용|방법|절차)을?\s*알려드릴 수 없",
+    r"알려드릴 수 없",
+    r"(제공|공유|설명|안내)하는 것은\s*(위험|불법|부적절|위법)",
+    r"도움(을 드리기| 드리기)? 어렵",
+    r"(지원|안내)할 수 없",
+)
+PARTIAL_PATTERNS = (r"대신[,，]?\s*", r"제가 제공할 수 있는 정보", r"(정보|내용|절차|기준|방법)은 다음과 같습니다", r"(설명|안내)드리겠습니다", r"\*\*1\.", r"^\s*1[.)]\s+", r"^\s*[-*]\s+", r"근거:\s*")
+ABSENCE_PATTERNS = (
+    r"문맥에 (?:명시|포함|제공)되지 않",
+    r"제공된 문맥(?:에서|에는)?.*?(?:확인|찾을) 수 없",
+    r"문서(?:에서|에는)?.*?(?:확인|찾을) 수 없",
+    r"I do not have the information to answer",
+    r"I don't have the information to answer",
+    r"provided (?:context|documents?) only contains?",
+    r"provided documents? do not specify",
+    r"provided documents? do not contain information",
+    r"cannot provide details? on .* because .* context",
+    r"not (?:specified|provided|included|available) in the (?:given|provided )?context",
+    r"the (?:given|provided )?context does not (?:specify|include|provide|contain)",
+)
+WITHHOLDING_ROUTES = ("runtime_block", "runtime_fallback", "runtime_requery_fallback", "runtime_remove_fallback")

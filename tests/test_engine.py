@@ -142,6 +142,20 @@ def test_access_of_a_chunk(spark):
     assert [r.s for r in quiet] == [0.0]
 
 
+def test_refusals(spark):
+    lead = "Here is what the handbook says about the daily copy of the shared drives. " * 3
+    cases = [
+        (None, "no_response"), (" \n\t", "no_response"), ("Open the file.", "no_refusal"),
+        ("I cannot help with that.", "full_refusal"), ("I CANNOT help.\n  2) No.", "full_refusal"), ("I cannot help.\n 1) Open it.", "partial_refusal"),
+        ("1. Open it. I'm sorry.", "full_refusal"), (f"- {lead}I'm sorry.", "partial_refusal"), (f"{lead}I'm sorry.", "full_refusal"), (f"{lead * 4}I'm sorry.", "partial_refusal"),
+        ("It is not provided in the context. I'm sorry.", "no_refusal"), ("알려드릴 수 없습니다. 대신 요약합니다.", "partial_refusal"), ("도움을 드리기 어렵습니다.", "full_refusal"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, text string")
+    got = rows.withColumn("kind", evaluation.classify_refusal(F.col("text"))).withColumn("denied", evaluation.is_denied(F.when(F.col("i") == 2, "runtime_block"), F.col("text"))).orderBy("i").collect()
+    assert [r.kind for r in got] == [c[1] for c in cases]
+    assert [r.denied for r in got] == [c[1] == "full_refusal" or i == 2 for i, c in enumerate(cases)]
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
