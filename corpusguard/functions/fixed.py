@@ -376,3 +376,13 @@ ABSENCE_PATTERNS = (
     r"the (?:given|provided )?context does not (?:specify|include|provide|contain)",
 )
 WITHHOLDING_ROUTES = ("runtime_block", "runtime_fallback", "runtime_requery_fallback", "runtime_remove_fallback")
+
+# Words of a question that say nothing of its subject.
+QUERY_NOISE_TERMS = (
+    "문서", "기준", "기준으로", "정리", "정리해줘", "알려줘", "알려줄래", "설명", "내용", "관련", "자세히", "상세", "어떻게", "무엇", "어떤", "해주세요", "해줘", "하는", "해야",
+)
+
+# Words of procedures, which name a field of an answer.
+PROCEDURAL_FIELD_TERMS = (
+    "신청", "신청서", "요청", "요청서", "승인", "절차", "검토", "제출", "자료", "서류", "방법", "단계", "순서", "과정", "확인", "등록", "검사", "반출", "발급", "기간", "기한", "목록", "주관",
+)

@@ -10,6 +10,8 @@ from corpusguard.functions.dialect import CHECK, SPARK, Dialect
 from corpusguard.functions.sqlrun import Steps, chain, run, spread
 from corpusguard.operators import evaluation as E
 from corpusguard.operators import guard as G
+from corpusguard.operators import lexical as L
+from corpusguard.operators import query as Q
 from corpusguard.operators import retrieval as R
 from corpusguard.plans.detection import SPLICE, _docs, _routed
 
@@ -132,6 +134,52 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_dedupe(_results(spark, sf_dir, 24)).select("query_id", "chunk_id", "rank")
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with names of files, headings from their languages, and kinds of blocks."""
+    kind = F.expr("CASE doc_id % 5 WHEN 0 THEN 'table_row' WHEN 1 THEN 'text_section' WHEN 2 THEN 'clause_section' WHEN 3 THEN 'table' ELSE 'text' END")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.expr("concat('the-', source, '_of the ', lang, '.txt')").alias("source"), F.expr("concat('in ', lang)").alias("entity_title"), F.lit("and").alias("clause_title"), kind.alias("block_type"), "text")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.matches(_titled(spark, sf_dir), L.coverage_terms(Q.profile(_queries(spark, sf_dir))))
+
+
+def keyword_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = L.bonus(_pairs(spark, sf_dir))
+    return b.select("query_id", "chunk_id", F.col("entity_coverage").cast("long").alias("entity_coverage"), F.col("title_coverage").cast("long").alias("title_coverage"), "bonus", "exact")
+
+
+def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.source_coverage(_pairs(spark, sf_dir)).select("query_id", "source", "entity_coverage", "title_coverage", "field_coverage")
+
+
+def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = L.sparse_search(_titled(spark, sf_dir), _queries(spark, sf_dir))
+    return r.select("query_id", "chunk_id", "retrieval_type", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# The benchmark's texts have neither Hangul nor quotes: each word of two letters is an entity term, and there are no hints, fields or quoted terms.
+_HELD = r"""w AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '[가-힣A-Za-z0-9]+'))) AS t FROM benchmark),
+    qt AS (SELECT item_id AS query_id, lower(text) AS q FROM benchmark),
+    c AS (SELECT doc_id AS chunk_id, 'the-' || source || '_of the ' || lang || '.txt' AS source, doc_id % 5 AS kind, regexp_replace(lower('the' || source || 'ofthe' || lang), '\s', '', 'g') AS title, 'in' || lang AS heading, regexp_replace(lower(text), '[\s\x0B]+', '', 'g') AS body, 'the-' || source || '_ofthe' || lang || '.txt' AS path FROM documents),
+    held AS (SELECT query_id, chunk_id, source, kind, t, contains(title, t) AS a, contains(heading, t) AS b, contains('and', t) AS c, contains(body, t) AS d, contains(path, t) AS e FROM w, c WHERE length(t) >= 2)"""
+_BONUS = _HELD + r""", n AS (SELECT query_id, chunk_id, source, kind, sum(CASE WHEN a THEN 125 WHEN b THEN 95 WHEN c THEN 88 WHEN d THEN 50 WHEN e THEN 28 ELSE 0 END) AS points, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb, count(*) FILTER (c) AS nc, count(*) FILTER (d) AS nd,
+        count(*) FILTER (a OR b OR c OR d) AS hits, count(*) FILTER (a OR b OR c OR d OR e) AS entity_coverage, count(*) FILTER (a OR b OR c) AS title_coverage FROM held GROUP BY ALL),
+    p AS (SELECT n.query_id, n.chunk_id, n.source, entity_coverage, title_coverage,
+        (points + [32, 16, 28, 8, 0][kind + 1] + CASE WHEN hits >= 2 THEN 35 ELSE 0 END - CASE WHEN entity_coverage = 0 THEN 25 ELSE 0 END + CASE WHEN contains(regexp_replace(q, '\s', '', 'g'), title) THEN 240 ELSE 0 END + CASE WHEN regexp_matches(q, '(^|[^a-z])the([^a-z]|$)') THEN 145 ELSE 0 END)::DOUBLE AS bonus,
+        CASE WHEN na + nb + nc + nd > 0 THEN (22 + 52 * na + 34 * nb + 30 * nc + 18 * nd + [16, 10, 14, 0, 0][kind + 1] + CASE WHEN na > 0 AND nb + nc + nd > 0 THEN 18 ELSE 0 END + CASE WHEN na + nb + nc >= 2 THEN 16 ELSE 0 END)::DOUBLE END AS exact
+        FROM n JOIN qt USING (query_id) JOIN (SELECT chunk_id, title FROM c) t ON t.chunk_id = n.chunk_id)"""
+_BY_SCORE = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)"
+_SPARSE = _bm25_sql("plus1") + f""", {_BONUS},
+    s AS (SELECT p.query_id, p.chunk_id, p.source, coalesce(h.score, 0) + bonus AS score, exact + 0.45 * least(coalesce(h.score, 0), 80) AS x FROM p LEFT JOIN hits h ON h.query_id = p.query_id AND h.chunk_id = p.chunk_id),
+    f AS (SELECT * FROM (SELECT *, {_BY_SCORE} AS r FROM s) z WHERE r <= 50),
+    o AS (SELECT query_id, chunk_id, x AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) AS r FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(x, 9) DESC, chunk_id) AS m FROM s WHERE x > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.r <= 10 AND f.query_id = s.query_id AND f.chunk_id = s.chunk_id)) y WHERE m <= 4) v WHERE r <= 20),
+    u AS (SELECT query_id, chunk_id, 'sparse' AS retrieval_type, score FROM f UNION ALL SELECT query_id, chunk_id, 'sparse_exact', score FROM o)
+    SELECT query_id, chunk_id, retrieval_type, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, retrieval_type, chunk_id) AS rank FROM u) e WHERE rank <= 30"""
+_SOURCE_COVERAGE = f"WITH {_HELD} SELECT query_id, source, count(*) AS entity_coverage, count(*) FILTER (z.titled) AS title_coverage, 0::BIGINT AS field_coverage FROM (SELECT query_id, source, t, bool_or(a OR b OR c) AS titled FROM held WHERE a OR b OR c OR d OR e GROUP BY ALL) z GROUP BY query_id, source"
+
+
 def _guard_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 50).alias("query_id"), F.col("event_id").alias("chunk_id"), F.concat(F.lit("s"), (F.col("event_id") % 7).cast("string")).alias("source"), ((F.col("event_id") * 37) % 100 / 100).alias("chunk_risk"), ((F.col("user_id") * 13) % 80 / 100).alias("rbac_risk"), ((F.col("user_id") * 29) % 90 / 100).alias("query_risk"), ((F.col("event_id") * 11) % 50 / 100).alias("pattern_score"), (F.col("event_id") % 5).alias("n_reasons"))
@@ -304,6 +352,9 @@ QUERIES: dict = {
     "source_rank": (source_rank, _SOURCE_RANK),
     "near_dup_pairs": (near_dup_pairs, _NEAR),
     "greedy_dedupe": (greedy_dedupe, None),
+    "keyword_bonus": (keyword_bonus, f"WITH {_BONUS} SELECT query_id, chunk_id, entity_coverage, title_coverage, bonus, exact FROM p"),
+    "source_coverage": (source_coverage, _SOURCE_COVERAGE),
+    "sparse_search": (sparse_search, _SPARSE),
     "query_risk": _steps(_query_risk, "SELECT conv_id, turn, query_risk, CAST(query_rules AS BIGINT) AS query_rules FROM query_scored", "conversations"),
     "rbac_and_decision": _steps(_decided, "SELECT conv_id, turn, rbac_risk, risk, runtime_level, runtime_action FROM decided", "conversations", "documents", check=_decided_check),
     "requery_exclusions": (requery_exclusions, _REQUERY),
