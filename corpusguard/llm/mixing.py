@@ -100,8 +100,21 @@ def schedule(planned: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return d.repartitionByRange(*place).sortWithinPartitions(*place)
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position: a row per document, by the copies of the mix as it was written.
+
+    taken sums the words of a document's copies, position is that of its first one.
+    """
+    row = ("_cg_row",)
+    planned = save(plan(row_ids(docs), row), "plan")
+    order = save(schedule(planned, row), "order")
+    given = order.groupBy(F.col("_cg_row").alias("_r")).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    out = planned.drop("taken", "position").hint("merge").join(given.hint("merge"), F.col("_cg_row") == F.col("_r"), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "position")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

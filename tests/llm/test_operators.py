@@ -298,6 +298,20 @@ def test_mixing(docs, empty, rows):
     assert mixing.plan(empty).count() == 0
 
 
+def test_mix_is_read_from_its_copies(spark, monkeypatch, tmp_path):
+    """The query counts the copies that the schedule puts in order; it does not pass them by."""
+    texts = [(k, "a", "w " * (k % 5)) for k in range(40)] + [(k, "b", "w " * 30) for k in range(40, 50)] + [(None, None, "x y"), (7, "a", "w w w")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size)
+    got, planned = sorted(mixing.op2(spark, str(tmp_path)).collect(), key=key), sorted(mixing.plan(d).collect(), key=key)
+    assert [tuple(r) for r in got] == [tuple(r)[: len(got[0])] for r in planned] and len(got) == 52
+    as_before = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda planned, carry=(): as_before(planned, carry).where("copy = 0"))
+    firsts = sorted(mixing.op2(spark, str(tmp_path)).collect(), key=key)
+    assert [r.taken for r in firsts] == [min(r.size, r.taken) for r in got] != [r.taken for r in got]
+
+
 def test_rules(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 0 if i >= 50 else 1, 0) for i in range(8, 86)] + [(8, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in rules.quality(docs, labels).collect()}
