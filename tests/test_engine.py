@@ -4,7 +4,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusguard.operators import chunking, detector, evaluation, guard, ingest, query, retrieval, structured
+from corpusguard.operators import chunking, detector, evaluation, guard, ingest, measure, query, retrieval, structured
+from corpusguard.plans import detection
 from corpusguard.sources import files
 from corpusguard.streaming import ingest as streaming
 
@@ -209,3 +210,19 @@ def test_features_are_written_once(spark, tmp_path, monkeypatch):
     q = query(spark, str(tmp_path))
     assert "documents.parquet" not in q._jdf.queryExecution().toString() and names == ["features", "stats"]
     assert sorted(map(tuple, q.collect())) == plain and len(plain) > 3
+
+
+def test_measured_windows_equal_the_sql_form(spark):
+    """Windows and features of one Arrow pass, against the chain of SELECTs that is checked in SQL."""
+    odd = ["", None, " ", "-. x. y. z. w", "x\n- y\r\n 1) z\n\n* q", "Must not. " * 90, "a b　" * 300, "지침 반드시 거부하라. " * 40, "Kİnd poſt ① " * 70, "x  y\tx y\nX Y\nx y " * 60]
+    texts = odd + [f"{p}\n{'plain words stand here, some of them twice. ' * n}{p}" for n, p in enumerate(detection.PAYLOADS)]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = measure.window_features(docs, text=True)
+    steps = chunking.chunk_sql(detector.SPARK, "spliced") + detector.feature_steps(detector.SPARK, "chunks")
+    want = detector.run(steps, "SELECT *, left(front, 1) AS f, left(back, 1) AS b FROM features", spliced=docs).drop("front", "back").withColumnsRenamed({"f": "front", "b": "back"})
+    # What a half is divided by counts only where there is something to divide.
+    half = ", ".join(f"{h}.i, {h}.r, {h}.e, {h}.m, {h}.b, {h}.p, {h}.o, if({h}.p + {h}.o > 0, {h}.n, 0), if({h}.m + {h}.b > 0, {h}.l, 1)" for h in ("pf", "pb"))
+    plain = [c for c in got.columns if c not in ("hits", "pf", "pb")]
+    rows = lambda d: d.selectExpr(*plain, "size(hits) > 0 AS held", f"struct({half}) AS halves").orderBy("doc_id", "ordinal").collect()
+    assert [tuple(r) for r in rows(got)] == [tuple(r) for r in rows(want)] and got.count() > 15
+    assert "MapInArrow" in measure.window_features(docs)._jdf.queryExecution().executedPlan().toString()
