@@ -31,6 +31,8 @@ from corpusguard.llm.common import blocks, root, save, shuffle_cleanup
 
 ARRIVAL_BYTES, FANOUT = 8 << 20, 4
 TARGET_BYTES = 64 << 20
+#: Rounds in which a compaction rewrites its runs, so that it exchanges a part of the rows at a time.
+TURNS = 4
 _MANIFEST = "_cg_shard string, _cg_level int, _cg_first long, _cg_last long, _cg_docs long, _cg_bytes long, _cg_path string"
 _OWN = ("_cg_bytes", "_cg_arrival", "_cg_level", "_cg_shard")
 
@@ -144,8 +146,13 @@ class Store:
         if grow.isEmpty():
             return v
         stay, lines = old.join(grow.select("_cg_first"), "_cg_first", "left_anti"), old.join(grow, "_cg_first")
-        rows = self._rows(lines).drop("_cg_shard", "_cg_level")
-        self._commit(stay.unionByName(self._write(rows)), v + 1)
+        turns = grow.select("_cg_to").distinct().withColumn("_cg_turn", F.pmod(F.row_number().over(Window.orderBy("_cg_to")), F.lit(TURNS)))
+        lines = save(lines.join(turns, "_cg_to"), "merged")
+        for turn in range(TURNS):
+            rows = self._rows(lines.where(F.col("_cg_turn") == turn))
+            if rows is not None:
+                stay = stay.unionByName(self._write(rows.drop("_cg_shard", "_cg_level")))
+        self._commit(stay, v + 1)
         return v + 1
 
     def read(self, version: int | None = None) -> DataFrame | None:

@@ -401,6 +401,17 @@ def test_sharding(docs, empty, tmp_path):
     assert sharding.shard(empty).count() == 0
 
 
+def test_compaction_rewrites_in_turns(docs, tmp_path):
+    """The runs that grow are exchanged a part at a time; each is rewritten once and no row is lost."""
+    store = sharding.Store(docs.sparkSession, f"file://{tmp_path}/s", 4000)
+    store.append(docs, 500)
+    store.compact()
+    lines = store.manifest().collect()
+    folders = {x._cg_path.rsplit("/", 2)[-2] for x in lines if x._cg_last > x._cg_first}
+    assert len(folders) == min(sharding.TURNS, sum(x._cg_last > x._cg_first for x in lines)) > 1
+    assert sum(x._cg_docs for x in lines) == store.read().count() == docs.count()
+
+
 def test_size_tiers(spark):
     """Uneven runs reach the target, equal small ones cascade, full ones are left alone."""
     sizes = [10] * 20 + [3] + [70] + [500]
