@@ -228,11 +228,14 @@ def tree(counts: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         up = down.selectExpr("context AS _c", "node AS _n", "p AS _p", "mixed AS _m", "rest AS _r")
         level = owned(levels.pop())
+        if depth > 2:
+            # Written levels are far smaller than their rows in memory, so none that grows may be broadcast; the two above hold 65,280 nodes at most.
+            level, up = level.hint("merge"), up.hint("merge")
         j = level.join(up, (F.expr(f"context & {(1 << 8 * (depth - 1)) - 1}L") == F.col("_c")) & (F.col("node") == F.col("_n")))
         seen = "a + b > 0"
         down = j.selectExpr("context", "node", f"CASE WHEN {seen} THEN _m + _r * {one} ELSE _p END AS p", f"_m + _r * own * {one} AS mixed", "_r * (1 - own) AS rest")
     leaves = down.selectExpr("context AS _c", "node AS _n", "p")
-    j = steps.select("key", "context", "node", "bit").join(leaves, (F.col("context") == F.col("_c")) & (F.col("node") == F.col("_n")))
+    j = steps.select("key", "context", "node", "bit").hint("merge").join(leaves.hint("merge"), (F.col("context") == F.col("_c")) & (F.col("node") == F.col("_n")))
     return j.groupBy("key").agg(F.sum(F.expr("log10(CASE WHEN bit = 1 THEN p ELSE 1 - p END)")).alias("log10p"))
 
 

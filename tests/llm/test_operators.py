@@ -282,6 +282,13 @@ def test_context_tree(docs, rows, empty):
     assert ctw.code_lengths(empty, held(10)).count() == 0
 
 
+def test_context_tree_broadcasts_no_growing_level(spark):
+    key = F.col("id") * 7919 + 97
+    plan = ctw.tree(spark.range(300).select(key.alias("key"), F.lit(1).cast("long").alias("total")))._jdf.queryExecution().executedPlan().toString()
+    # Six joins down the tree; only the levels of at most 255 and 65,280 nodes may be sent to the driver.
+    assert plan.count("SortMergeJoin") >= 4 and plan.count("BroadcastHashJoin") <= 2
+
+
 def test_mixing(docs, empty, rows):
     got = mixing.plan(docs).collect()
     by = {}
