@@ -1,6 +1,7 @@
 import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,25 @@ def test_bm25_exchanges_only_the_tokens_asked_for(spark):
     hits.collect()
     plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "hashpartitioning(chunk_id" in plan and not any("query_id" in line and "hashpartitioning" in line and "chunk_id" in line for line in plan.splitlines())
+
+
+def test_features_of_many_texts_at_once():
+    """Texts without a word of a rule, a bullet or an odd letter are measured together, and as one by one."""
+    import random
+
+    from corpusguard.operators import measure as M
+
+    rng = random.Random(5)
+    bits = ["ab", "Ab", "x y", "가", "é", "_", "7", ".", "!", "。", "\n", "\r\n", "\r", "\t", "  ", " ", "\x0b", "\xa0", "-a", ",", "", " - ", "3) ", "İ", "Σ"]
+    texts = ["", "\n", *["".join(rng.choice(bits[: rng.choice((21, 25))]) for _ in range(rng.randrange(30))) for _ in range(254)]]
+    slow, found, repeated, fronts, backs = M._at_once(texts)
+    assert 0 < slow.sum() < 200
+    for i in np.flatnonzero(~slow):
+        x = texts[i]
+        toks, lines = M._TOKEN.findall(x.lower()), M._lines(x)
+        sents = [y for q in M._SENTENCE.split(x) if (y := q.strip(M._OUTER))]
+        assert [int(v[i]) for v in found.values()] == [len(toks), len(lines), len(sents), len(x), M._marks(x)]
+        assert repeated[i] == M._repetition(toks, len(set(toks)), lines)
+        halves = M._cut(x, sents)
+        assert (fronts[i], backs[i]) == tuple(h[:1] for h in halves)
+        assert not M._held(x, set(toks)) and not M._bullets(x) and [M._half(h, frozenset()) for h in halves] == [M._NO_HALF] * 2
