@@ -34,42 +34,40 @@ AROUND = MATCH - K
 CHUNK = 24_000
 SIDE = AROUND // 2
 _STRIDE = 96
+#: Windows whose anchors are looked for at once, and bits that hold a place among them.
+_BLOCK, _PLACE_BITS = 1 << 14, 15
+#: Rows by which a chunk grows.
+_PART = 512
 _SEED = "anchor long, doc_id long, place long, form long, more long"
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
-    """Bytes at which the anchors of the windows of the rows start, ascending; windows never cross rows."""
-    n = len(data) - K + 1
+    """Bytes at which the anchors of the windows of the rows start, ascending; windows never cross rows.
+
+    The smallest key of a window is found by the key's upper bits, with the place below them, so the first of equal ones counts.
+    """
+    n = len(data) - MATCH + 1
     span = AROUND + 1
-    if n < span:
+    if n < 1:
         return np.zeros(0, np.int64)
     key = _grams(data) if key is None else key
-    m, width = key, 1
-    while 2 * width <= span:
-        m = np.minimum(m[: len(m) - width], m[width:])
-        width *= 2
-    low = np.minimum(m[: n - span + 1], m[span - width : span - width + n - span + 1])
-    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    inside = np.arange(len(low)) + MATCH <= offs[1:][rows[: len(low)]]
-    # The first place of the minimum in each window: the previous one while it is in reach and no smaller came.
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return at
-    hit = np.zeros(n, bool)
-    change = np.ones(len(at), bool)
-    change[1:] = (low[at[1:]] != low[at[:-1]]) | (np.diff(at) > 1)
-    starts = at[change]
-    block = 1 << 14
-    for s in range(0, len(starts), block):
-        w = starts[s : s + block]
-        hit[w + np.argmin(key[w[:, None] + np.arange(span)], axis=1)] = True
-    # A window that keeps its minimum may hold it only at a later place once the first has left it.
-    places = np.flatnonzero(hit)
-    last = places[np.maximum(np.searchsorted(places, at + span - 1, "right") - 1, 0)]
-    stale = (last < at) | (key[last] != low[at])
-    w = at[stale]
-    for s in range(0, len(w), block):
-        hit[w[s : s + block] + np.argmin(key[w[s : s + block][:, None] + np.arange(span)], axis=1)] = True
+    inside = np.ones(n, bool)
+    # The last MATCH - 1 bytes of a row start no window.
+    late = offs[1:, None] - np.arange(1, MATCH)
+    inside[late[(late >= offs[:-1, None]) & (late < n)]] = False
+    hit = np.zeros(len(key), bool)
+    places = np.arange(_BLOCK + span - 1, dtype=np.uint64)
+    low_bits = np.uint64((1 << _PLACE_BITS) - 1)
+    for s in range(0, n, _BLOCK):
+        e = min(s + _BLOCK, n)
+        m = key[s : e + span - 1] & ~low_bits
+        m |= places[: len(m)]
+        width = 1
+        while 2 * width <= span:
+            m = np.minimum(m[: len(m) - width], m[width:])
+            width *= 2
+        m = np.minimum(m[: e - s], m[span - width : span - width + e - s])[inside[s:e]]
+        hit[(m & low_bits).view(np.int64) + s] = True
     return np.flatnonzero(hit)
 
 
@@ -121,6 +119,42 @@ def _surroundings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[i:j][row]), pa.array(versions[i:j][row]), pa.array(start.astype(np.int32)), around], ["anchor", "doc_id", "version", "start", "bytes"])
 
 
+def _sorted_by(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys of so many bits, and their ranks from 1 on; in one word with their places where both fit, as that sorts faster."""
+    shift = len(key).bit_length()
+    if bits + shift <= 64:
+        key = np.sort(key << np.uint64(shift) | np.arange(len(key), dtype=np.uint64))
+        order = (key & np.uint64((1 << shift) - 1)).view(np.int64)
+        key >>= np.uint64(shift)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order, rank
+
+
+def _suffixes(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of t, whose rows hold n symbols and an end mark of 0, by the suffixes that start there; equal ones by row."""
+    places = np.flatnonzero(np.arange(_STRIDE) <= n[:, None])
+    left = np.repeat(np.cumsum(n + 1), n + 1) - np.arange(len(places))
+    symbols = np.unique(t)
+    code = np.searchsorted(symbols, t.ravel()[places]).astype(np.uint64)
+    # Symbols that fit into a word beside a place are compared at once, then twice as many in each round.
+    each = int(len(symbols) - 1).bit_length()
+    width = max(1, (64 - len(places).bit_length()) // max(1, each))
+    shifted = lambda x, k: np.where(left > k, np.append(x[k:], np.zeros(min(k, len(x)), x.dtype)), x.dtype.type(0))
+    key = code.copy()
+    for k in range(1, width):
+        key = key << np.uint64(each) | shifted(code, k)
+    order, rank = _sorted_by(key, each * width)
+    while width < n.max(initial=0) + 1:
+        bits = int(rank.max(initial=0)).bit_length()
+        order, rank = _sorted_by(rank << np.uint64(bits) | shifted(rank, width), 2 * bits)
+        width *= 2
+    return places[order]
+
+
 class RunLengthIndex:
     """Runs of the Burrows-Wheeler transform of texts, with the text positions of run ends."""
 
@@ -131,25 +165,12 @@ class RunLengthIndex:
         cols = np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         t[np.repeat(np.arange(len(texts)), self.n), cols] = flat + 1
         self.text = t
-        rank = np.zeros(t.shape, np.uint64)
-        for j in range(8):
-            rank <<= np.uint64(8)
-            rank[:, : _STRIDE - j] |= t[:, j:]
-        width = 8
-        while True:
-            uniq, rank = np.unique(rank, return_inverse=True)
-            rank = rank.reshape(t.shape).astype(np.uint64)
-            if width > _STRIDE:
-                break
-            rank <<= np.uint64(32)
-            rank[:, : max(0, _STRIDE - width)] |= rank[:, width:] >> np.uint64(32)
-            width *= 2
-        own = np.arange(_STRIDE) <= self.n[:, None]
-        places = np.flatnonzero(own)
-        self.sa = places[np.argsort(rank.ravel()[places], kind="stable")]
+        self.sa = _suffixes(t, self.n)
         before = np.where(self.sa % _STRIDE, t.ravel()[self.sa - 1], 0)
         head = np.ones(len(self.sa), bool)
         head[1:] = before[1:] != before[:-1]
+        #: The run that each rank stands in.
+        self.run = np.cumsum(head, dtype=np.int32) - 1
         self.start = np.flatnonzero(head)
         self.symbol = before[self.start]
         lens = np.diff(np.append(self.start, len(self.sa)))
@@ -178,7 +199,7 @@ class RunLengthIndex:
         for step in range(1, int(self.n.max(initial=0)) + 1):
             live = row[self.n[row] >= step]
             at = r[live]
-            run = np.searchsorted(self.start, at, "right") - 1
+            run = self.run[at]
             is_head = at == self.start[run]
             new = self.to[run] + at - self.start[run]
             grown = np.minimum(length[live] + 1, MATCH)
@@ -206,15 +227,19 @@ def _common(flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(batch: pa.RecordBatch):
+    """Slices of a batch, so that a chunk is little larger than CHUNK."""
+    return [batch.slice(lo, _PART) for lo in range(0, batch.num_rows, _PART)]
+
+
 def _shards(batches):
     """(doc_id, start, end) of removed bytes from surroundings sorted by anchor and document."""
     held: list[pa.Table] = []
     rows = 0
     known: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
-    for batch in batches:
-        if batch.num_rows:
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
+    for part in (part for batch in batches for part in _parts(batch)):
+        held.append(pa.Table.from_batches([part]))
+        rows += part.num_rows
         if rows >= CHUNK:
             table = pa.concat_tables(held)
             key = table.column("anchor").to_numpy()

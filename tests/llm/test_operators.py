@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,22 @@ def test_index_classes_and_anchors():
     assert {s + int(np.argmin(key[s : s + 35])) for s in range(351)} <= set(rindex.anchors(data, np.array([0, 400])).tolist())
 
 
+def test_suffix_order_and_chunks_of_bounded_size(monkeypatch):
+    """Against sorted(); a chunk of surroundings holds little more than CHUNK rows, however large the batches are."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(range(256) if k % 2 else b"ab", k=rng.randrange(0, 85))) for k in range(60)]
+    t, n = np.zeros((60, rindex._STRIDE), np.int64), np.array([len(x) for x in texts])
+    for k, x in enumerate(texts):
+        t[k, : len(x)] = np.frombuffer(x, np.uint8) + np.int64(1)
+    want = sorted((bytes_after, k, i) for k, x in enumerate(texts) for i in range(len(x) + 1) for bytes_after in [x[i:]])
+    assert rindex._suffixes(t, n).tolist() == [k * rindex._STRIDE + i for _, k, i in want]
+    chunks = []
+    monkeypatch.setattr(rindex, "_remove", lambda table, known: (chunks.append(table.num_rows) or [], None))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(70_000))], ["anchor"])
+    assert list(rindex._shards([batch])) == []
+    assert sum(chunks) == 70_000 and max(chunks) <= rindex.CHUNK + rindex._PART
+
+
 def test_chaining(docs, rows, empty):
     got = chaining.passages(docs).collect()
     assert {(8, 9), (9, 8)} & {(r.doc_id, r.ref_id) for r in got} and (1, 0) in {(r.doc_id, r.ref_id) for r in got}
