@@ -1,10 +1,12 @@
 import math
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusguard.functions import sqlrun
 from corpusguard.operators import chunking, detector, evaluation, guard, ingest, measure, query, retrieval, structured
 from corpusguard.plans import detection
 from corpusguard.sources import files
@@ -261,3 +263,37 @@ def test_features_of_many_texts_at_once():
         halves = M._cut(x, sents)
         assert (fronts[i], backs[i]) == tuple(h[:1] for h in halves)
         assert not M._held(x, set(toks)) and not M._bullets(x) and [M._half(h, frozenset()) for h in halves] == [M._NO_HALF] * 2
+
+
+def test_large_scans_are_split_evenly(spark, tmp_path, monkeypatch):
+    """More tasks than cores within even_scan, the setting of before after it; finer splits that are set stay."""
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.range(200_000).selectExpr("id", "md5(CAST(id AS STRING)) AS text").repartition(8).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    before = spark.conf.get(key)
+    monkeypatch.setattr(sqlrun, "LEAST_BYTES", 1 << 16)
+    with sqlrun.even_scan(df):
+        inside = int(spark.conf.get(key))
+        assert inside == max(1 << 16, sqlrun._bytes(df) // (sqlrun.TASKS * spark.sparkContext.defaultParallelism))
+    assert int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) > inside
+    spark.conf.set(key, "4096")
+    try:
+        with sqlrun.even_scan(df):
+            assert spark.conf.get(key) == "4096"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_tokens_that_hold_a_word():
+    """Against a search in each token, when seen first and again."""
+    words = [*measure._WORDS[:5], "plain", "Other", "a1", measure._WORDS[3].upper() + "x"]
+    words = [w for w in words if measure._TOKEN.fullmatch(w)] * 3
+    joined, starts, at = " ".join(words), [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    h = measure._mix(np.array([zlib.crc32(w.encode()) for w in words], np.uint64))
+    want = [any(x in w.lower() for x in measure._WORDS) for w in words]
+    ends = np.array(starts) + np.array([len(w) for w in words])
+    for _ in range(2):
+        assert measure._holding(h, np.array(starts), ends, joined).tolist() == want
