@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of one scan, pairs of one sum, entries of a trie's table, names whose terms a task remembers.
-_CHARS, _PAIRS, _TABLE, _NAMES = 1 << 18, 1 << 16, 1 << 25, 4096
+#: Characters of one scan, texts times terms of it and of the names a task remembers, pairs of one sum, entries of a trie's table, titles that a task remembers.
+_CHARS, _CELLS, _PAIRS, _TABLE, _NAMES = 1 << 16, 1 << 25, 1 << 16, 1 << 25, 4096
 LATIN, DIGIT, HANGUL, BLANK = 1, 2, 3, 4
 
 
@@ -75,7 +75,7 @@ class Words:
 
     def _next(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         if self.table is not None:
-            return self.table[state * np.int32(self.width) + char]
+            return self.table.take(state * np.int32(self.width) + char)
         k = state.astype(np.int64) * self.width + char
         i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[i] == k, self.to[i], 0).astype(np.int32)
@@ -100,9 +100,9 @@ class Words:
             # Bigrams of Hangul runs count twice each, as in retrieval.tokens.
             count = count + np.bincount(of[start[hangul]], weights=2 * (size[hangul] - 1), minlength=n).astype(np.int64)
             pair = np.append((kind[1:] == HANGUL) & (kind[:-1] == HANGUL), False)
-        solid = kind != BLANK
-        char, of, run_size = char[solid], of[solid], run_size[solid]
-        pair = None if pair is None else pair[solid]
+        solid = np.flatnonzero(kind != BLANK)
+        char, of, run_size = char.take(solid), of.take(solid), run_size.take(solid)
+        pair = None if pair is None else pair.take(solid)
         held, found = np.zeros((n, self.n_terms), np.bool_), []
 
         def tokens(at: np.ndarray, state: np.ndarray, times: int) -> None:
@@ -116,28 +116,29 @@ class Words:
         at, depth = np.flatnonzero(first).astype(np.int32 if len(char) < 1 << 31 else np.int64), 1
         state = self._next(np.zeros(len(at), np.int32), char[at]) if len(at) else at
         while len(at):
-            live = state > 0
-            at, state = at[live], state[live]
-            hit = state <= self.n_terms
-            held[of[at[hit]], state[hit] - 1] = True
-            whole = run_size[at] == depth
-            tokens(at[whole], state[whole], 1)
+            live = np.flatnonzero(state)
+            at, state = at.take(live), state.take(live)
+            hit = np.flatnonzero(state <= self.n_terms)
+            held[of.take(at.take(hit)), state.take(hit) - 1] = True
+            whole = np.flatnonzero(run_size.take(at) == depth)
+            tokens(at.take(whole), state.take(whole), 1)
             if depth == 2 and pair is not None:
                 both = pair[at]
                 tokens(at[both], state[both], 2)
             if len(at):
-                state = self._next(state, char[at + depth])
+                state = self._next(state, char.take(at + depth))
             depth += 1
         flat, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return held, flat // max(1, self.n_tokens), flat % max(1, self.n_tokens), times, count
 
 
-def _cuts(texts: list[str]):
-    """Slices of about _CHARS characters."""
+def _cuts(texts: list[str], n_terms: int):
+    """Slices of about _CHARS characters, and of _CELLS texts times terms at most."""
     begin = chars = 0
+    most = max(1, _CELLS // max(1, n_terms))
     for i, t in enumerate(texts):
         chars += len(t)
-        if chars >= _CHARS:
+        if chars >= _CHARS or i + 1 - begin >= most:
             yield slice(begin, i + 1)
             begin, chars = i + 1, 0
     if begin < len(texts):
@@ -159,7 +160,7 @@ def features(places: DataFrame, terms: list[str], tokens: list[str]) -> DataFram
         words = Words(terms, tokens)
         for batch in batches:
             texts = batch.column("_body").to_pylist()
-            for cut in _cuts([t or "" for t in texts]):
+            for cut in _cuts([t or "" for t in texts], len(terms)):
                 some = texts[cut]
                 held, chunk, token, times, length = words.scan([t or "" for t in some])
                 entries = np.stack((token, times, length[chunk]), 1).astype("<i4")
@@ -378,7 +379,7 @@ def best(rows: DataFrame, key: str, asked: dict, fields: dict, places: dict[str,
         def titled(sets: list[tuple]) -> np.ndarray:
             """Places by terms of the chunks' names, texts of the same names once."""
             new = [s for s in dict.fromkeys(sets) if s not in seen]
-            if len(seen) + len(new) > _NAMES:
+            if (len(seen) + len(new)) * len(terms) > _CELLS:
                 seen.clear()
                 new = list(dict.fromkeys(sets))
             if new:

@@ -74,6 +74,14 @@ def test_rows_of_a_task_are_few_among_ties(spark):
     assert [r.chunk_id for r in L.sparse_search(rows, asked).where("retrieval_type = 'sparse'").orderBy("rank").limit(10).collect()] == list(range(10))
 
 
+def test_slices_are_bounded_by_characters_and_by_terms(monkeypatch):
+    monkeypatch.setattr(pairscan, "_CHARS", 10)
+    texts = ["", "abc", "", "abcdefghijkl", "a", ""]
+    assert [(c.start, c.stop) for c in pairscan._cuts(texts, 1)] == [(0, 4), (4, 6)]
+    assert [(c.start, c.stop) for c in pairscan._cuts(texts, pairscan._CELLS // 2)] == [(0, 2), (2, 4), (4, 6)]
+    assert len([*pairscan._cuts(texts, pairscan._CELLS * 2)]) == 6 and not [*pairscan._cuts([], 1)]
+
+
 @pytest.mark.parametrize("table", [pairscan._TABLE, 0])
 def test_scan_finds_what_plain_search_finds(table, monkeypatch):
     monkeypatch.setattr(pairscan, "_TABLE", table)
